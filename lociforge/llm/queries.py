@@ -7,21 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .exact_dedup import exact_duplicates
+from .language_id import identify_languages
+from .packing import pack
 from .piece_counting import count_tokens
 from .piece_encoding import encode_digests
+from .quality import classify_quality
+from .sharding import shard_documents
+from .spotsigs import fingerprint_edits
 
 
-def op1_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(documents(spark, sf_dir))
-
-
-def op3_piece_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(documents(spark, sf_dir))
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_piece_encoding": op1_piece_encoding,
-    "op3_piece_counting": op3_piece_counting,
+    "op1_piece_encoding": lambda spark, sf_dir: encode_digests(documents(spark, sf_dir)),
+    "op2_sharding": lambda spark, sf_dir: shard_documents(documents(spark, sf_dir)),
+    "op3_piece_counting": lambda spark, sf_dir: count_tokens(documents(spark, sf_dir)),
+    "op4_exact_dedup": lambda spark, sf_dir: exact_duplicates(documents(spark, sf_dir)),
+    "op6_packing": lambda spark, sf_dir: pack(documents(spark, sf_dir)),
+    "op7_language_id": lambda spark, sf_dir: identify_languages(documents(spark, sf_dir)),
+    "op8_spotsigs": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
+    "op9_quality": lambda spark, sf_dir: classify_quality(documents(spark, sf_dir), _labels(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": """
+        select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+               doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+          from documents window same as (partition by coalesce(text, ''))""",
+}

@@ -183,7 +183,9 @@ def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Lang
         if len(own) >= 20:
             middle = np.median(own)
             spread = max(0.05 * middle, float(np.quantile(own, 0.99) - middle))
-            model.limit[x], model.width[x] = middle + 4 * spread, spread
+            # a text in two languages stays; what is nearer to random marks than to the language goes
+            model.limit[x] = max(middle + 4 * spread, middle + 0.6 * (np.log(model.marks) - middle))
+            model.width[x] = spread
     return model
 
 

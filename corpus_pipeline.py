@@ -1,13 +1,64 @@
-"""The corpus pipeline: each stage works on all its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept.
+
+``run`` applies the stages to ``documents``. All stages but the last return the columns of ``documents``; the last packs
+what is left and returns a row per piece.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociforge.llm import exact_dedup, language_id, near_dedup, packing, quality
+from lociforge.llm.common import BROADCAST_IDS, written
+
+
+def _only(docs: DataFrame, keep: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``keep``; ids are broadcast up to a checked number, else joined by shuffle."""
+    ids = written(keep.select(F.col("doc_id").cast("long").alias("_kept_id")).distinct(), name)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["_kept_id"], "left_semi")
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts in a language; models are learned from the table's own labels."""
+    model = language_id.train(docs.where(~language_id.held_out(3, 1)))
+    return _only(docs, language_id.identify(docs, model).where(~F.col("rejected")), "pipeline-language")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts that the classifier doesn't call bad; it learns from labels of documents that got here."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~language_id.held_out(5, 0))
+    machine = quality.train(docs, labels)
+    return _only(docs, quality.score_quality(docs, machine).where("predicted = 1"), "pipeline-quality")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of equal texts the one with the largest doc_id."""
+    return _only(docs, exact_dedup.exact_duplicates(docs).where("kept"), "pipeline-exact")
+
+
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates (five words, similarity 0.8) the one with the smallest doc_id."""
+    return _only(docs, near_dedup.near_duplicates(docs).where("kept"), "pipeline-near")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", languages), ("quality", good), ("exact", distinct), ("near", different), ("pack", packed)]
+
+#: Models and tokenizers are beyond SQL; a plain version in the tests checks the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, f"pipeline-{name}")
     return docs

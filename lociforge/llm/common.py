@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Entries a Python worker keeps per cache of words; frequent words arrive early and stay.
 CACHE_ENTRIES = 400_000
+#: Ids up to which a set of them is broadcast (8 bytes each); beyond, rows are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,8 +131,8 @@ def fit_counts(counts: dict[str, Counter]) -> LanguageModel:
             codes = np.frombuffer("".join([grams[i] for i in at]).encode("utf-32-le"), np.uint32).astype(np.uint64)
             hashes[at] = _hashes(codes)[k - 1][k - 1 :: k]
     order = np.argsort(hashes)
-    table = np.array([rows[s] for s in grams], np.float32)[order]
     n = len(languages)
+    table = np.array([rows[s] for s in grams], np.float32).reshape(len(grams), 2 * n)[order]
     return LanguageModel(languages, hashes[order], table[:, :n].copy(), table[:, n:].copy(), empty, marks, np.full(n, np.inf), np.ones(n))
 
 
@@ -159,12 +159,14 @@ def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Lang
     """A model from ``doc_id, text, lang`` rows; those with a null lang or text are left out.
 
     About ``sample_documents`` rows of each language are read, chosen by hash of doc_id; n-grams are counted on the
-    executors, and what the driver gathers is bounded by the sample. Raises ValueError without labelled rows.
+    executors, and what the driver gathers is bounded by the sample. Without labelled text the model has no language.
     """
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not sizes or len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; from 1 to {MAX_LANGUAGES} can be learned")
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages; {MAX_LANGUAGES} can be learned")
+    if not sizes:
+        return fit_counts({})
     spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, 1.1 * sample_documents / n)) + 1))])
     sample = written(rows.where(spot < share[F.col("lang")]), "language-sample")
@@ -174,9 +176,9 @@ def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Lang
     counts: dict[str, Counter] = defaultdict(Counter)
     for language, gram, n in zip(*(table.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
         counts[language][gram] = n
-    if not counts:
-        raise ValueError("no labelled text has a letter")
     model = fit_counts(counts)
+    if not counts:
+        return model
     seen = identify(sample.where(role | F.lit(len(sizes) == 0)), model, keep="lang").where("lang = lang_pred").select("lang", "cross_entropy").toPandas()
     for x, language in enumerate(model.languages):
         own = seen.loc[seen["lang"] == language, "cross_entropy"].to_numpy()
@@ -199,7 +201,7 @@ class _Scored:
 
     def learn(self, tokens: set[str]) -> None:
         tokens -= self.rows.keys()
-        if not tokens:
+        if not tokens or not self.model.languages:
             return
         names = list(tokens)
         parts = [words_of(t) for t in names]
@@ -223,7 +225,8 @@ class _Scored:
 def identify(docs: DataFrame, model: LanguageModel, keep: str | None = None) -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, rejected`` of each whole text (and the column ``keep``, as it is).
 
-    ``und``, score 0, no cross-entropy and rejected: texts that are null, empty or without a letter. score is the
+    ``und``, score 0, no cross-entropy and rejected: texts that are null, empty or without a letter, and all if the
+    model has no language. score is the
     posterior of the chosen language from at most EVIDENCE letters, lowered where the text is unlike the calibration
     texts; ties go to the first language by name. Rows are independent; no shuffle.
     """
@@ -249,20 +252,22 @@ def identify(docs: DataFrame, model: LanguageModel, keep: str | None = None) ->
                 scored.learn(set().union(*tokens))
                 get, table = scored.rows.__getitem__, scored.table
                 for k, t in enumerate(tokens):
-                    if t:
+                    if t and n:
                         sums[first + k] = table[np.fromiter(map(get, t), np.int64, len(t))].sum(axis=0, dtype=np.float64)
-            letters = sums[:, n]
+            letters = sums[:, n] * (n > 0)
             entropy = -sums[:, :n] / np.maximum(letters, 1)[:, None]
+            entropy = entropy if n else np.zeros((len(entropy), 1))
             best = entropy.argmin(axis=1)
             low = entropy[np.arange(len(best)), best]
             weight = np.exp(-(entropy - low[:, None]) * np.minimum(letters, EVIDENCE)[:, None])
             score = 1 / weight.sum(axis=1)
-            score /= 1 + np.exp(np.clip((low - own.limit[best]) / (0.25 * own.width[best]), -50, 50))
+            limit, width = (own.limit[best], own.width[best]) if n else (np.inf, 1.0)
+            score /= 1 + np.exp(np.clip((low - limit) / (0.25 * width), -50, 50))
             none = letters == 0
             names = [None if e else own.languages[b] for e, b in zip(none, best, strict=True)]
             columns = {
                 "doc_id": batch.column(0), "lang_pred": pa.array([UNKNOWN if x is None else x for x in names]), "score": pa.array(np.where(none, 0.0, np.clip(score, 0, 1))),
-                "cross_entropy": pa.array(low, mask=none), "rejected": pa.array(none | (low > own.limit[best])),
+                "cross_entropy": pa.array(low, mask=none), "rejected": pa.array(none | (low > limit)),
             }
             if keep:
                 columns[keep] = batch.column(2)

@@ -20,15 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, texts, written
+from .common import BROADCAST_IDS, WordCache, texts, written
 from .components import components
 
 WORDS = 5
 PERCENT = 80
 TABLES = 12
 ROWS = 3
-#: Ids up to which a set of candidates is broadcast (8 bytes each); beyond, texts are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 
 _RNG = np.random.Generator(np.random.Philox(key=11))
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

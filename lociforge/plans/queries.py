@@ -1,4 +1,606 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and the same in DuckDB's SQL where it can say it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import alleles as A
+from ..functions import fields as D
+from ..functions import genotypes as G
+from ..functions import text as T
+from ..operators import cohort, generate, records, reference, sizing, summary
+from ..operators import histograms as H
+from ..sources import vcf
+from ..sources.profiles import Profile
+from .views import CALLS_SQL, SAMPLES, VARIANTS_SQL, variants, with_calls
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL; ``with variants`` and other names are put in front."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = _with(sql)
+        return f
+
+    return register
+
+
+# -- SQL shared by several queries
+
+FIT_CLASS = """case when alt like '<%' or contains(alt, '[') or contains(alt, ']') then 'symbolic' when length(ref) = 1 and length(alt) = 1 then 'snp'
+  when length(ref) = length(alt) then 'mnp' when length(alt) > length(ref) and starts_with(alt, ref) then 'insertion'
+  when length(ref) > length(alt) and starts_with(ref, alt) then 'deletion' else 'complex' end"""
+TRANSITION = "(ref = 'A' and alt = 'G' or ref = 'G' and alt = 'A' or ref = 'C' and alt = 'T' or ref = 'T' and alt = 'C')"
+SEQUENCE_CLASS = """case when alt = '*' then 'SPANNING_DEL' when length(ref) = 1 and length(alt) = 1 then 'SNP' when length(ref) = length(alt) then 'MNP'
+  when length(alt) > length(ref) and starts_with(alt, ref) then 'INS' when length(ref) > length(alt) and starts_with(ref, alt) then 'DEL' else 'DELINS' end"""
+ALLELE_KIND = r"""case when alt = '*' then 'STAR' when alt = '<*>' then 'UNSPECIFIED'
+  when alt like '<%>' then case when split_part(substr(alt, 2, length(alt) - 2), ':', 1) in ('DEL', 'INS', 'DUP', 'INV', 'CNV') then 'SYMBOLIC' end
+  when contains(alt, '[') or contains(alt, ']') then case
+    when regexp_full_match(alt, '[ACGTNacgtn]+\[[^\[\]]+:[0-9]+\[|[ACGTNacgtn]+\][^\[\]]+:[0-9]+\]|\[[^\[\]]+:[0-9]+\[[ACGTNacgtn]+|\][^\[\]]+:[0-9]+\][ACGTNacgtn]+') then 'BREAKEND' end
+  when length(alt) > 1 and (starts_with(alt, '.') or ends_with(alt, '.')) then case when regexp_full_match(alt, '\.[ACGTNacgtn]+|[ACGTNacgtn]+\.') then 'BREAKEND' end
+  when regexp_full_match(alt, '[ACGTNacgtn]+') then 'SEQ' end"""
+
+#: ALTs of every form, well and badly made, dealt over the rows.
+FORMS = ("*", "<*>", "<DEL>", "<DUP:TANDEM>", "<INS:ME:ALU>", "<INV>", "<CNV>", "T[chr2:5[", "T]chr2:321]", "[chr3:7[GA", "]HLA:A:9]N", ".A", "AC.", "ACGTN", "acgt", "<UNKNOWN>", "xyz", "", "T[chr2:5]", "[chr2:5[", "T[chr2[", ".", "A.C")
+
+_PARTS = {
+    "variants": VARIANTS_SQL,
+    "alleles": f"select * exclude (alt, joined), {FIT_CLASS} as class, alt from (select * exclude (alt), alt as joined, unnest(range(0, len(string_split(alt, ',')))) as allele_idx, unnest(string_split(alt, ',')) as alt from variants)",
+    "genotypes": CALLS_SQL,
+    "calls": f"select *, list_transform(range(0, {SAMPLES}), lambda s: case when (pk*31 + sk*17 + ln*5 + s*7) % 29 = 0 then [-1, -1] else [cast((pk*13 + sk*3 + s*s*11) % 17 < 3 as int), cast((pk*5 + ln*19 + s*23) % 13 < 2 as int)] end) as calls from variants",
+    "counts": "select *, list_sum(list_transform(calls, lambda c: (c[1] = 1)::int + (c[2] = 1)::int)) as ac, list_sum(list_transform(calls, lambda c: (c[1] = -1)::int)) as missing from calls",
+    "forms": f"select pk, sk, ln, pos, ref, list_extract([{', '.join(repr(x) for x in FORMS)}], cast(pk % {len(FORMS)} + 1 as int)) as alt from variants",
+    "gts": "select pk, sk, ln, pos, s, concat(case when a0 < 0 then '.' else cast(a0 as varchar) end, case when (pk + ln) % 3 <> 0 then '|' else '/' end, case when a1 < 0 then '.' else cast(a1 as varchar) end, case when (pk + s) % 5 = 0 then '/2' else '' end) as gt from genotypes",
+}
+_NEEDS = {"alleles": ["variants"], "genotypes": ["variants"], "calls": ["variants"], "counts": ["calls", "variants"], "forms": ["variants"], "gts": ["genotypes", "variants"]}
+
+
+def _with(sql: str) -> str:
+    """Names of parts in the SQL become common table expressions in front of it."""
+    used: list[str] = []
+    for name in _PARTS:
+        if any(f"{w} {name}" in sql for w in ("from", "join")):
+            used += [n for n in [*reversed(_NEEDS.get(name, [])), name] if n not in used]
+    used.sort(key=["variants", "alleles", "genotypes", "calls", "counts", "forms", "gts"].index)
+    head = ", ".join(f"{n} as ({_PARTS[n]})" for n in used)
+    if not head:
+        return sql
+    return f"with {head}, {sql[5:]}" if sql.lstrip().startswith("with ") else f"with {head} {sql}"
+
+
+def _bins(value: str, edges: list[float]) -> str:
+    """The SQL of ``histograms.bin_index``."""
+    inner = " ".join(f"when {value} < {e!r} then {k}" for k, e in enumerate(edges[1:-1]))
+    return f"case when {value} < {edges[0]!r} then null {inner} when {value} <= {edges[-1]!r} then {len(edges) - 2} end"
+
+
+def _weights(rows: str, value: str, edges: list[float]) -> str:
+    n = len(edges) - 1
+    return f"""with binned as (select {_bins(value, edges)} as bin from ({rows}) r), counted as (select bin, count(*) as n from binned where bin is not null group by bin)
+      select cast(k as int) as bin, coalesce(n, 0) as n, coalesce(n, 0) / (select cast(sum(n) as double) from counted) as weight from (select unnest(range(0, {n})) as k) e left join counted c on e.k = c.bin"""
+
+
+def _alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.explode_alleles(variants(spark, sf_dir))
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = F.get(F.array(*map(F.lit, FORMS)), F.pmod("pk", F.lit(len(FORMS))).cast("int"))
+    return variants(spark, sf_dir).select("pk", "sk", "ln", "pos", "ref", form.alias("alt"))
+
+
+def _gts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_calls(variants(spark, sf_dir)).select("pk", "sk", "ln", "pos", F.posexplode("calls").alias("s", "c"))
+    bar = F.when((F.col("pk") + F.col("ln")) % 3 != 0, "|").otherwise("/")
+    one = lambda k: F.when(F.col("c")[k] < 0, ".").otherwise(F.col("c")[k].cast("string"))
+    return rows.select("pk", "sk", "ln", "pos", "s", F.concat(one(0), bar, one(1), F.when((F.col("pk") + F.col("s")) % 5 == 0, "/2").otherwise("")).alias("gt"))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = F.flatten("calls")
+    rows = with_calls(variants(spark, sf_dir))
+    return rows.withColumn("ac", F.size(F.filter(flat, lambda a: a == 1))).withColumn("missing", F.size(F.filter("calls", lambda c: c[0] == -1)))
+
+
+# -- cohort statistics
+
+
+@query("select chrom, count(*) as n, min(pos) as pos_min, max(pos) as pos_max, greatest(max(pos) - min(pos), 1) as span, count(*) / (greatest(max(pos) - min(pos), 1) / 1000.0::double) as density_per_kb from variants group by chrom")
+def contig_stats(spark, sf_dir):
+    return cohort.contig_stats(variants(spark, sf_dir))
+
+
+@query("select c as class, coalesce(n, 0) as n from (select unnest(['snp', 'insertion', 'deletion', 'mnp', 'complex', 'symbolic']) as c) e left join (select class, count(*) as n from alleles group by class) a on e.c = a.class")
+def class_counts(spark, sf_dir):
+    return cohort.class_counts(_alleles(spark, sf_dir))
+
+
+@query("select c as class, coalesce(n, 0) / cast(sum(n) over () as double) as share from (select unnest(['snp', 'insertion', 'deletion', 'mnp', 'complex', 'symbolic']) as c) e left join (select class, count(*) as n from alleles group by class) a on e.c = a.class")
+def class_mix(spark, sf_dir):
+    return cohort.class_mix(_alleles(spark, sf_dir))
+
+
+@query(_weights("select * from (select pos - lag(pos) over (partition by chrom order by pos) as gap from variants) where gap > 0", "gap", H.gap_edges()))
+def gap_histogram(spark, sf_dir):
+    return H.weighted(cohort.gap_histogram(variants(spark, sf_dir)), H.GAP_BINS)
+
+
+@query(_weights("select abs(length(alt) - length(ref)) as len from alleles where class in ('insertion', 'deletion')", "len", list(H.INDEL_EDGES)))
+def indel_length_histogram(spark, sf_dir):
+    return H.weighted(cohort.indel_histogram(_alleles(spark, sf_dir)), len(H.INDEL_EDGES) - 1)
+
+
+@query("select sum(contains(alt, ',')::int) / count(*) as rate from variants")
+def multiallelic_rate(spark, sf_dir):
+    return cohort.multiallelic_rate(variants(spark, sf_dir))
+
+
+@query(f"select cast(sum({TRANSITION}::int) as bigint) as n_ts, cast(sum((not {TRANSITION})::int) as bigint) as n_tv, sum({TRANSITION}::int) / sum((not {TRANSITION})::int) as titv from alleles where class = 'snp'")
+def titv(spark, sf_dir):
+    return cohort.titv(_alleles(spark, sf_dir))
+
+
+@query("select pk, sk, ln, pos, cast(a as int) as allele, count(*) as ac from (select *, unnest([a0, a1]) as a from genotypes) where a > 0 group by all")
+def allele_counts(spark, sf_dir):
+    rows = with_calls(variants(spark, sf_dir)).select("pk", "sk", "ln", "pos", F.explode(F.flatten("calls")).alias("allele"))
+    return cohort.allele_counts(rows, ["pk", "sk", "ln", "pos"])
+
+
+@query(_weights("select ac from counts", "ac", H.sfs_edges(SAMPLES)))
+def sfs_histogram(spark, sf_dir):
+    return H.weighted(cohort.sfs_histogram(_counts(spark, sf_dir), "ac", SAMPLES), len(H.sfs_edges(SAMPLES)) - 1)
+
+
+@query(f"select sum(missing) / (count(*) * {SAMPLES}) as rate from counts")
+def missing_rate(spark, sf_dir):
+    return cohort.missing_rate(_counts(spark, sf_dir).select(F.col("missing").alias("MISSING_CT"), F.lit(SAMPLES).alias("OBS_CT")))
+
+
+@query(f"select greatest(0, least(1, 1 - avg(cast({2 * SAMPLES} - 2 * missing as double)) / {2 * SAMPLES})) as rate from counts where pk % 7 <> 0")
+def missing_rate_sites(spark, sf_dir):
+    passed = _counts(spark, sf_dir).where("pk % 7 <> 0")
+    return cohort.missing_rate_sites(passed.select((2 * SAMPLES - 2 * F.col("missing")).alias("an")), SAMPLES)
+
+
+@query("select sum(contains(gt, '|')::int) / count(*) as rate from (select g.*, v.chrom from gts g join variants v using (pk, sk, ln, pos)) where chrom = 'chr1' and pos between 1000 and 1001000")
+def phased_rate(spark, sf_dir):
+    gts = _gts(spark, sf_dir).join(variants(spark, sf_dir).select("pk", "sk", "ln", "pos", "chrom"), ["pk", "sk", "ln", "pos"])
+    return cohort.phased_rate(gts, "chr1", 1000)
+
+
+@query(f"""select (select count(*) from variants) as n_records, count(*) as n_alleles, (select sum(contains(alt, ',')::int) / count(*) from variants) as multiallelic_rate,
+  sum((class = 'snp' and {TRANSITION})::int) / sum((class = 'snp' and not {TRANSITION})::int) as titv, sum((class = 'snp')::int) / count(*) as snp_share, sum((class = 'insertion')::int) / count(*) as insertion_share from alleles""")
+def profile_scalars(spark, sf_dir):
+    contigs = cohort.record_stats(variants(spark, sf_dir)).agg(F.sum("n").alias("n_records"), (F.sum("multi") / F.sum("n")).alias("multiallelic_rate"))
+    stats = cohort.allele_stats(_alleles(spark, sf_dir))
+    every = sum((F.col(c) for c in A.FIT_CLASSES), F.lit(0))
+    return contigs.crossJoin(stats).select(  # one row each
+        "n_records", every.cast("bigint").alias("n_alleles"), "multiallelic_rate", (F.col("n_ts") / (F.col("snp") - F.col("n_ts"))).alias("titv"), (F.col("snp") / every).alias("snp_share"), (F.col("insertion") / every).alias("insertion_share")
+    )
+
+
+@query("select chrom, pos, pk, sk, ln, cast(allele_idx as int) as allele_idx, ref, alt, class from alleles")
+def explode_alleles(spark, sf_dir):
+    return _alleles(spark, sf_dir).select("chrom", "pos", "pk", "sk", "ln", "allele_idx", "ref", "alt", "class")
+
+
+@query("select pk, sk, ln, pos, cast(allele_idx as int) as allele_idx, case when pk % 3 = 0 then (case when allele_idx = 0 then pk % 50 end) else list_extract([pk % 50, null], cast(allele_idx + 1 as int)) end as value from alleles")
+def per_allele_info(spark, sf_dir):
+    """A list has a value for the first allele and none for the second; a lone value is the first allele's."""
+    text = (F.col("pk") % 50).cast("string")
+    lone = F.col("pk") % 3 == 0
+    value = F.struct(F.when(lone, "scalar").otherwise("list").alias("form"), F.lit("int").alias("type"), F.when(lone, F.array(text)).otherwise(F.array(text, F.lit(None).cast("string"))).alias("values"))
+    return _alleles(spark, sf_dir).select("pk", "sk", "ln", "pos", "allele_idx", records.per_allele_int(value, F.col("allele_idx")).alias("value"))
+
+
+@query("select chrom, count(*) as n from (select chrom, pos, lag(pos) over (partition by chrom order by pk, sk, ln, pos) as previous from variants) where pos < previous group by chrom")
+def sortedness_violations(spark, sf_dir):
+    rows = variants(spark, sf_dir)
+    return cohort.sortedness_violations(rows, F.struct("pk", "sk", "ln", "pos")).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- alleles
+
+
+@query(f"select pk, sk, ln, pos, alt, {ALLELE_KIND} as kind from forms")
+def allele_parse_kind(spark, sf_dir):
+    return _forms(spark, sf_dir).select("pk", "sk", "ln", "pos", "alt", A.allele_kind("alt").alias("kind"))
+
+
+@query(rf"""select distinct alt, case when {ALLELE_KIND} is null then case when alt like '<%>' then 'BadSvType' when contains(alt, '[') or contains(alt, ']') or length(alt) > 1 and (starts_with(alt, '.') or ends_with(alt, '.')) then 'BadBreakend' else 'BadAlleleBases' end end as error,
+  case when {ALLELE_KIND} = 'SYMBOLIC' then split_part(substr(alt, 2, length(alt) - 2), ':', 1) end as first_type,
+  case when {ALLELE_KIND} = 'SYMBOLIC' then array_to_string(string_split(substr(alt, 2, length(alt) - 2), ':')[2:], ':') end as subtypes,
+  case when {ALLELE_KIND} = 'BREAKEND' and regexp_matches(alt, '[\[\]]') then regexp_extract(alt, '[\[\]](.+):([0-9]+)[\[\]]', 1) end as mate_chrom,
+  case when {ALLELE_KIND} = 'BREAKEND' and regexp_matches(alt, '[\[\]]') then cast(regexp_extract(alt, '[\[\]](.+):([0-9]+)[\[\]]', 2) as bigint) end as mate_pos,
+  case when {ALLELE_KIND} is not null then alt end as rendered from forms""")
+def allele_parse(spark, sf_dir):
+    rows = _forms(spark, sf_dir).select("alt").distinct().withColumn("p", A.parse_allele("alt"))
+    return rows.select("alt", A.allele_error("alt").alias("error"), "p.first_type", F.array_join("p.subtypes", ":").alias("subtypes"), "p.mate_chrom", "p.mate_pos", F.when(F.col("p").isNotNull(), A.render_allele("p")).alias("rendered"))
+
+
+@query(f"""select class, count(*) as n from (select case when contains(alt, ',') then 'MULTIALLELIC' when kind = 'SEQ' then {SEQUENCE_CLASS} when kind = 'STAR' then 'SPANNING_DEL' when kind = 'BREAKEND' then 'BND'
+    when kind = 'SYMBOLIC' then case when alt like '<CNV%' then 'CNV' else concat('SV_', substr(alt, 2, 3)) end else kind end as class
+  from (select *, {ALLELE_KIND} as kind from (select ref, alt from variants union all select ref, alt from forms))) group by class""")
+def record_class(spark, sf_dir):
+    rows = variants(spark, sf_dir).select("ref", "alt").unionByName(_forms(spark, sf_dir).select("ref", "alt"))
+    return rows.select(A.record_class(F.col("ref"), F.split("alt", ",")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select kind, count(*) as n from (select case when k = 'SEQ' then {SEQUENCE_CLASS} when k = 'STAR' then 'SPANNING_DEL' when k = 'BREAKEND' then 'BND' else k end as kind from (select ref, alt, {ALLELE_KIND} as k from forms union all select ref, alt, {ALLELE_KIND} from alleles)) group by kind")
+def allele_kind(spark, sf_dir):
+    rows = _forms(spark, sf_dir).select("ref", "alt").unionByName(_alleles(spark, sf_dir).select("ref", "alt"))
+    return rows.select(A.truth_kind("ref", "alt").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select ref, translate(ref, 'ACGT', 'CGTA') as next_1, translate(ref, 'ACGT', 'TACG') as next_3, count(*) as n from variants where length(ref) = 1 group by all")
+def next_base(spark, sf_dir):
+    rows = variants(spark, sf_dir).where("length(ref) = 1")
+    return rows.groupBy("ref", A.next_base("ref", 1).alias("next_1"), A.next_base("ref", 3).alias("next_3")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_U = "('0x' || substr(md5(concat({}, '{}')), 1, 12))::bigint / 281474976710656.0::double"
+_KEY = "concat(cast(pk as varchar), '-', cast(sk as varchar), '-', cast(ln as varchar), '-', cast(pos as varchar))"
+
+
+def _uniform(tag: str) -> Column:
+    key = F.concat(F.concat_ws("-", *[F.col(c).cast("string") for c in ("pk", "sk", "ln", "pos")]), F.lit(tag))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+
+
+@query(f"""select pk, sk, ln, pos, ref, case when u < {2.1 / 3.1!r}::double then translate(ref, 'ACGT', 'GTAC') when ref in ('A', 'G') then (case when p < 0.5 then 'C' else 'T' end) else (case when p < 0.5 then 'A' else 'G' end) end as alt
+  from (select *, {_U.format(_KEY, 'u')} as u, {_U.format(_KEY, 'p')} as p from variants where length(ref) = 1)""")
+def snp_alt_from_uniform(spark, sf_dir):
+    rows = variants(spark, sf_dir).where("length(ref) = 1")
+    return rows.select("pk", "sk", "ln", "pos", "ref", A.snp_alt("ref", _uniform("u"), _uniform("p"), 2.1).alias("alt"))
+
+
+# -- genotypes
+
+
+@query("""select pk, sk, ln, pos, cast(s as int) as s, array_to_string(list_transform(regexp_split_to_array(gt, '[|/]'), lambda x: case when x = '.' then 'null' else x end), ',') as alleles, len(regexp_split_to_array(gt, '[|/]')) as ploidy from gts""")
+def genotype_parse(spark, sf_dir):
+    p = G.parse_genotype("gt")["alleles"]
+    return _gts(spark, sf_dir).select("pk", "sk", "ln", "pos", F.col("s").cast("int").alias("s"), F.array_join(F.transform(p, lambda a: F.coalesce(a.cast("string"), F.lit("null"))), ",").alias("alleles"), G.ploidy("gt").cast("bigint").alias("ploidy"))
+
+
+@query("select contains(gt, '|') and not contains(gt, '/') as phased, count(*) as n from gts group by 1")
+def genotype_phase(spark, sf_dir):
+    return _gts(spark, sf_dir).groupBy(G.is_phased("gt").alias("phased")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select gt, count(*) as n from gts group by gt")
+def genotype_render(spark, sf_dir):
+    p = G.parse_genotype("gt")
+    return _gts(spark, sf_dir).select(G.render_genotype(p["alleles"], p["phased"]).alias("gt")).groupBy("gt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select k as kind, cast(n as int) as n_alt, cast(p as int) as ploidy, case k when 'fixed' then 3 when 'flag' then 0 when 'A' then n when 'R' then n + 1 when 'G' then cast(factorial(cast(n + p as int)) / (factorial(cast(n as int)) * factorial(cast(p as int))) as bigint) end as cardinality
+  from (select unnest(['fixed', 'flag', 'A', 'R', 'G', 'dot']) as k) a, (select unnest(range(0, 6)) as n) b, (select unnest(range(1, 5)) as p) c""")
+def cardinality(spark, sf_dir):
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, ("fixed", "flag", "A", "R", "G", "dot")))).alias("kind")).select("kind", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n_alt")).select("kind", "n_alt", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ploidy"))
+    return grid.withColumn("cardinality", G.cardinality("kind", F.lit(3), "n_alt", "ploidy"))
+
+
+@query("""select row_number() over (order by c, b, a) - 1 as place, cast(a as int) as a0, cast(b as int) as a1, cast(c as int) as a2 from (select unnest(range(0, 4)) as a) x, (select unnest(range(0, 4)) as b) y, (select unnest(range(0, 4)) as c) z where a <= b and b <= c""")
+def genotype_order(spark, sf_dir):
+    return spark.createDataFrame([(i, *g) for i, g in enumerate(G.genotype_order(3, 4))], "place bigint, a0 int, a1 int, a2 int")
+
+
+@query(f"""select pk, sk, ln, pos, cast(i as int) as s, list_sum(list_transform(c, lambda a: (a = 0)::int))::int as n_ref, list_sum(list_transform(c, lambda a: (a = 1)::int))::int as n_alt, list_sum(list_transform(c, lambda a: (a <> -1)::int))::int as dp,
+  case when c[1] = -1 then 0::double else list_sum(list_transform(c, lambda a: (a = 1)::int)) / 2.0::double end as vaf from (select *, unnest(range(0, {SAMPLES})) as i, unnest(calls) as c from calls)""")
+def sample_stats(spark, sf_dir):
+    rows = with_calls(variants(spark, sf_dir)).select("pk", "sk", "ln", "pos", F.posexplode("calls").alias("s", "c"))
+    return rows.select("pk", "sk", "ln", "pos", "s", G.call_stats("c").alias("x")).select("pk", "sk", "ln", "pos", "s", "x.n_ref", "x.n_alt", "x.dp", F.col("x.vaf").cast("double").alias("vaf"))
+
+
+@query(f"""select pk, sk, ln, pos, cast(i as int) as s, concat(r, ',', t) as ad, concat(r // 2, ',', t // 2) as f1r2, concat(r - r // 2, ',', t - t // 2) as f2r1, '0,30,60' as pl, '0,0,0,0' as sb, 99 as gq
+  from (select *, list_sum(list_transform(c, lambda a: (a = 0)::int))::int as r, list_sum(list_transform(c, lambda a: (a = 1)::int))::int as t from (select *, unnest(range(0, {SAMPLES})) as i, unnest(calls) as c from calls))""")
+def payload_fields(spark, sf_dir):
+    rows = with_calls(variants(spark, sf_dir)).select("pk", "sk", "ln", "pos", F.posexplode("calls").alias("s", "c")).withColumn("x", G.payload_fields("c"))
+    joined = lambda k: F.array_join(F.transform(F.col("x")[k], lambda v: v.cast("string")), ",").alias(k.lower())
+    return rows.select("pk", "sk", "ln", "pos", "s", *map(joined, ("AD", "F1R2", "F2R1", "PL", "SB")), F.col("x.GQ").alias("gq"))
+
+
+@query("select chrom, array_to_string(list_transform(calls, lambda c: concat(case when c[1] < 0 then '.' else c[1]::varchar end, case when (pk + ln) % 3 <> 0 then '|' else '/' end, case when c[2] < 0 then '.' else c[2]::varchar end)), chr(9)) as gts, count(*) as n from calls group by all")
+def calls_render(spark, sf_dir):
+    phased = (F.col("pk") + F.col("ln")) % 3 != 0
+    rows = with_calls(variants(spark, sf_dir))
+    return rows.groupBy("chrom", F.array_join(F.transform("calls", lambda c: G.render_calls(c, phased)), "\t").alias("gts")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- text
+
+
+@query("select p_partkey, replace(replace(replace(replace(replace(replace(replace(replace(v, '%', '%25'), ':', '%3A'), ';', '%3B'), '=', '%3D'), ',', '%2C'), chr(13), '%0D'), chr(10), '%0A'), chr(9), '%09') as encoded from (select p_partkey, concat(p_name, '%a:b;c=', p_brand, ',', chr(13), chr(10), chr(9), '%3A') as v from part)")
+def percent_encode(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", T.percent_encode(F.concat("p_name", F.lit("%a:b;c="), "p_brand", F.lit(",\r\n\t%3A"))).alias("encoded"))
+
+
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, regexp_replace(cast(l_extendedprice as varchar), '\\.0$', '') as price, regexp_replace(cast(l_discount as varchar), '\\.0$', '') as discount, regexp_replace(cast(-l_quantity as varchar), '\\.0$', '') as quantity from lineitem")
+def float_text(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", T.format_float("l_extendedprice").alias("price"), T.format_float("l_discount").alias("discount"), T.format_float(-F.col("l_quantity")).alias("quantity"))
+
+
+@query("select pk, sk, ln, pos, concat('AC=', ac, ';AN=', 16 - 2 * missing, case when pk % 2 = 0 then ';SOMATIC' else '' end) as info from counts")
+def info_render(spark, sf_dir):
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    entries = F.concat(F.array(pair("AC", F.col("ac")), pair("AN", 2 * SAMPLES - 2 * F.col("missing"))), F.when(F.col("pk") % 2 == 0, F.array(pair("SOMATIC", F.lit(None)))).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    return _counts(spark, sf_dir).select("pk", "sk", "ln", "pos", T.info_text(entries).alias("info"))
+
+
+@query("select pk, sk, ln, pos, case pk % 4 when 0 then '.' when 1 then 'PASS' when 2 then 'q10' else 'q10;LowQual' end as filter from variants")
+def filter_tristate(spark, sf_dir):
+    none = F.lit(None).cast("array<string>")
+    filters = F.when(F.col("pk") % 4 == 0, none).when(F.col("pk") % 4 == 1, F.array().cast("array<string>")).when(F.col("pk") % 4 == 2, F.array(F.lit("q10"))).otherwise(F.array(F.lit("q10"), F.lit("LowQual")))
+    return variants(spark, sf_dir).select("pk", "sk", "ln", "pos", T.filter_text(filters).alias("filter"))
+
+
+@query("""select concat('##contig=<ID=', n_name, case when n_nationkey % 2 = 0 then concat(',length=', n_nationkey * 1000) else '' end, '>') as line from nation
+  union all select concat('##FILTER=<ID=', n_name, ',Description="Region ', n_regionkey, '">') from nation
+  union all select concat('##INFO=<ID=N', n_nationkey, ',Number=', list_extract(['A', 'R', 'G', '.', '1'], cast(n_regionkey + 1 as int)), ',Type=Integer,Description="', n_name, '">') from nation""")
+def header_lines(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    number = F.get(F.array(*map(F.lit, ("A", "R", "G", ".", "1"))), F.col("n_regionkey").cast("int"))
+    contigs = nation.select(T.contig_line(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") * 1000)).alias("line"))
+    filters = nation.select(T.described_line("FILTER", F.col("n_name"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string"))).alias("line"))
+    infos = nation.select(D.header_line(F.lit("INFO"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), number, F.lit("Integer"), F.col("n_name")).alias("line"))
+    return contigs.unionByName(filters).unionByName(infos)
+
+
+# -- staged records
+
+_STRUCTURAL = ("<DEL>", "<DUP:TANDEM>", "<INS>", "<INV>", "<CNV>", "G]chr2:321]", "<*>", "*", "A")
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with one ALT of each structural form, lengths and claims that are sometimes missing or wrong."""
+    pk, sk, ln = F.col("pk"), F.col("sk"), F.col("ln")
+    null = F.lit(None).cast("string")
+    value = lambda form, kind, x: F.struct(F.lit(form).alias("form"), F.lit(kind).alias("type"), F.array(x).alias("values"))
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    claim = F.get(F.array(F.lit("D"), F.lit("J"), F.lit("DJ"), F.lit("X"), null), (sk % 5).cast("int"))
+    gt = F.array(F.when(ln == 3, "0|x").when(ln == 5, "0/2").otherwise("0|1"), F.lit("./."))
+    depth = lambda n: F.array_repeat(F.struct(F.lit("list").alias("form"), F.lit("int").alias("type"), F.array_repeat(F.lit("7"), n).alias("values")), 2)
+    fmt = F.array(F.struct(F.lit("AD").alias("key"), depth(F.when(pk % 11 == 0, 3).otherwise(2).cast("int")).alias("per_sample")))
+    return variants(spark, sf_dir).select(
+        "pk", "sk", "ln", F.lit(0).cast("bigint").alias("rec_id"), "chrom", "pos", F.lit(None).cast("array<string>").alias("ids"), F.when(pk % 5 == 0, "AC").otherwise("A").alias("ref"),
+        F.array(F.get(F.array(*map(F.lit, _STRUCTURAL)), (pk % len(_STRUCTURAL)).cast("int"))).alias("alts"), F.lit(None).cast("double").alias("qual"), F.lit(None).cast("array<string>").alias("filters"), gt.alias("gt"),
+        F.array(pair("SVLEN", value("list", "int", F.when(pk % 4 != 0, (-(pk % 300)).cast("string")))), pair("SVCLAIM", value("list", "str", claim)), pair("DP", value("scalar", "int", F.lit("9")))).alias("info"),
+        F.when(pk % 13 == 0, F.array().cast(f"array<struct<key:string,per_sample:array<{records.VALUE}>>>")).otherwise(fmt).alias("fmt"), F.array().cast("array<string>").alias("labels"),
+    )
+
+
+_STAGED_SQL = f"""staged as (select pk, sk, ln, pos, case when pk % 5 = 0 then 'AC' else 'A' end as ref, list_extract([{', '.join(map(repr, _STRUCTURAL))}], cast(pk % {len(_STRUCTURAL)} + 1 as int)) as alt,
+  case when pk % 4 <> 0 then -(pk % 300) end as svlen, list_extract(['D', 'J', 'DJ', 'X', null], cast(sk % 5 + 1 as int)) as claim from variants),
+ faults as (select pk, sk, ln, pos,
+  case when ref = 'AC' and alt not in ('A', '*', '<*>') then 'MissingRefPadding' end as padding,
+  case when alt in ('<DEL>', '<DUP:TANDEM>', '<INS>', '<INV>', '<CNV>') then case when svlen is null then 'MissingSvlen'
+      when claim is not null and not (case when alt in ('<DEL>', '<DUP:TANDEM>') then claim in ('D', 'J', 'DJ') when alt = '<CNV>' then claim = 'D' else claim = 'J' end) then 'BadSvclaim'
+      when alt in ('<DEL>', '<DUP:TANDEM>') and claim is null then 'SvclaimRequired' end
+    when alt in ('G]chr2:321]', '<*>', '*') and svlen is not null then 'SvlenMustBeMissing' end as structural,
+  case when ln = 3 then 'BadGenotype' when ln = 5 then 'AlleleIndexOutOfRange' end as calls,
+  case when pk % 13 <> 0 and pk % 11 = 0 then 'Cardinality' end as depth from staged)"""
+
+
+def _faults() -> Column:
+    formats = [D.reserved("GT", "FORMAT", "VCFv4.4"), D.reserved("AD", "FORMAT", "VCFv4.4")]
+    return records.record_faults("VCFv4.4", 2, [D.reserved("SVLEN", "INFO", "VCFv4.4"), D.reserved("SVCLAIM", "INFO", "VCFv4.4")], formats)
+
+
+@query(f"with {_STAGED_SQL} select coalesce(padding, structural) as code, count(*) as n from faults group by 1")
+def sv_validation(spark, sf_dir):
+    own = F.filter(_faults(), lambda f: f["code"].isin("MissingRefPadding", "MissingSvlen", "BadSvclaim", "SvclaimRequired", "SvlenMustBeMissing"))
+    return _staged(spark, sf_dir).select(F.get(own, F.lit(0))["code"].alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {_STAGED_SQL} select pk, sk, ln, pos, array_to_string(list_filter([padding, structural, calls, depth, depth, 'UndeclaredField'], lambda x: x is not null), ',') as codes, coalesce(padding, structural, calls, depth, 'UndeclaredField') as first from faults""")
+def field_validation(spark, sf_dir):
+    """Every fault of a record in order (two samples have the same depths; DP isn't declared), and the one that is reported."""
+    codes = F.transform(_faults(), lambda f: f["code"])
+    return _staged(spark, sf_dir).select("pk", "sk", "ln", "pos", F.array_join(codes, ",").alias("codes"), F.get(codes, F.lit(0)).alias("first"))
+
+
+@query(f"""with {_STAGED_SQL} select pk, sk, ln, pos, case when alt = '*' then 'SPANNING_DEL' when alt = '<*>' then 'UNSPECIFIED' when alt like 'G]%' then 'BND' when alt = 'A' then (case when ref = 'A' then 'SNP' else 'DEL' end) else 'SYMBOLIC' end as kind,
+  case when alt like '<%>' and alt <> '<*>' then substr(alt, 2, length(alt) - 2) end as sv_type, case when alt like '<%>' and alt <> '<*>' then abs(svlen) end as svlen, case when alt in ('<DEL>', '<DUP:TANDEM>', '<INV>', '<CNV>') then pos + abs(svlen) end as sv_end, alt = 'A' as is_sequence from staged""")
+def sv_truth(spark, sf_dir):
+    return _staged(spark, sf_dir).select("pk", "sk", "ln", "pos", F.get(records.allele_truth(), F.lit(0)).alias("t")).select("pk", "sk", "ln", "pos", "t.kind", "t.sv_type", "t.svlen", "t.sv_end", "t.is_sequence")
+
+
+@query(f"""with {_STAGED_SQL} select pk, sk, ln, pos, case when ln = 3 then '-1,-1,-1|-1,-1,-1' when ln = 5 then '0,2,-1|-1,-1,-1' else '0,1,-1|-1,-1,-1' end as genotypes, case when ln = 5 then 'false,false' else 'true,false' end as phasing,
+  case when alt like 'G]%' then 'BND' when alt = '*' then 'SPANNING_DEL' when alt = '<*>' then 'UNSPECIFIED' when alt = 'A' then (case when ref = 'A' then 'SNP' else 'DEL' end) when alt = '<CNV>' then 'CNV' else concat('SV_', substr(alt, 2, 3)) end as variant_class from staged""")
+def truth_decode(spark, sf_dir):
+    """Calls padded to three; a malformed genotype decodes to missing."""
+    rows = records.decoded(_staged(spark, sf_dir).withColumn("rec_id", F.struct("pk", "sk", "ln")), 2, 3)
+    flat = F.array_join(F.transform("genotypes", lambda g: F.array_join(F.transform(g, lambda a: a.cast("string")), ",")), "|")
+    return rows.select("rec_id.pk", "rec_id.sk", "rec_id.ln", "pos", flat.alias("genotypes"), F.array_join(F.transform("phasing", lambda p: p.cast("string")), ",").alias("phasing"), "variant_class")
+
+
+@query(f"""with {_STAGED_SQL} select pk, sk, ln, pos, concat('chr', 1 + sk % 5, chr(9), pos, chr(9), '.', chr(9), ref, chr(9), alt, chr(9), '.', chr(9), '.', chr(9), 'SVLEN=', coalesce(cast(svlen as varchar), '.'), ';SVCLAIM=', coalesce(claim, '.'), ';DP=9', chr(9),
+  'GT', case when pk % 13 = 0 then '' else ':AD' end, chr(9), case when ln = 3 then '0|x' when ln = 5 then '0/2' else '0|1' end, d, chr(9), './.', d) as line
+  from (select *, case when pk % 13 = 0 then '' when pk % 11 = 0 then ':7,7,7' else ':7,7' end as d from staged)""")
+def render_record(spark, sf_dir):
+    return _staged(spark, sf_dir).select("pk", "sk", "ln", "pos", records.record_line().alias("line"))
+
+
+@query(f"""with {_STAGED_SQL} select substr(alt, 2, length(alt) - 2) as id, case when alt = '<DEL>' then 'a deletion' else concat(substr(alt, 2, length(alt) - 2), ' structural variant') end as description from staged where alt like '<%>' and alt <> '<*>' group by alt
+  union all select 'DUP', 'given' from (select 1) where (select count(*) from staged) >= 0""")
+def alt_header_defs(spark, sf_dir):
+    return records.auto_alt_definitions(_staged(spark, sf_dir), {"DEL": "a deletion", "DUP": "given"})
+
+
+# -- lookups
+
+
+def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("chr"), (k % 7).cast("string"))).when(k % 3 == 1, F.concat(F.lit("CHR"), (k % 7).cast("string"))).otherwise(F.concat(F.lit("scaffold_"), k.cast("string")))
+    return supplier.select(k.alias("place"), name.alias("name"))
+
+
+_REQUESTED = "requested as (select s_suppkey as place, case s_suppkey % 3 when 0 then concat('chr', s_suppkey % 7) when 1 then concat('CHR', s_suppkey % 7) else concat('scaffold_', s_suppkey) end as name from supplier), fitted as (select n_nationkey as place, case when n_nationkey % 2 = 0 then concat('chr', n_nationkey % 6) else cast(n_nationkey % 9 as varchar) end as id, n_nationkey * 100 + 7 as n_variants from nation)"
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("place"), F.when(k % 2 == 0, F.concat(F.lit("chr"), (k % 6).cast("string"))).otherwise((k % 9).cast("string")).alias("id"), (k * 100 + 7).alias("n_variants"))
+
+
+@query(f"""with {_REQUESTED} select r.place, r.name, coalesce((select arg_min(n_variants, place) from fitted f where f.id = r.name), (select arg_min(n_variants, place) from fitted f where regexp_replace(lower(f.id), '^chr', '') = regexp_replace(lower(r.name), '^chr', '')),
+  (select n_variants from fitted f where f.place = r.place % (select count(*) from fitted))) as n_variants from requested r""")
+def contig_lookup(spark, sf_dir):
+    return sizing.match_contigs(_requested(spark, sf_dir), _fitted(spark, sf_dir))
+
+
+@query(f"with {_REQUESTED} select distinct name, 'missing' as fault from requested where name not in (select id from fitted) union all select distinct id, 'unknown' from fitted where id not in (select name from requested)")
+def contig_set_check(spark, sf_dir):
+    r, f = _requested(spark, sf_dir).select("name").distinct(), _fitted(spark, sf_dir).select(F.col("id").alias("name")).distinct()
+    return r.join(f, "name", "left_anti").withColumn("fault", F.lit("missing")).unionByName(f.join(r, "name", "left_anti").withColumn("fault", F.lit("unknown")))
+
+
+@query(f"with {_REQUESTED} select id, count(*) as n from fitted group by id having count(*) > 1")
+def duplicate_contigs(spark, sf_dir):
+    return _fitted(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("with declared as (select *, row_number() over (partition by n_regionkey order by n_nationkey desc) as back, min(n_nationkey) over (partition by n_regionkey) as first from nation) select n_regionkey, n_name, row_number() over (order by first) as place from declared where back = 1")
+def last_declaration_wins(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    last = nation.groupBy("n_regionkey").agg(F.max_by("n_name", "n_nationkey").alias("n_name"), F.min("n_nationkey").alias("first"))
+    return last.select("n_regionkey", "n_name", F.row_number().over(Window.orderBy("first")).cast("bigint").alias("place"))
+
+
+_DECLARED = (("INFO", "AC"), ("INFO", "SVLEN"), ("INFO", "SVCLAIM"), ("INFO", "NOPE"), ("FORMAT", "GT"), ("FORMAT", "LEN"), ("FORMAT", "AC"), ("INFO", "DB"))
+
+
+@query("""select * from (values ('INFO', 'AC', 'A', 'Integer', null), ('INFO', 'SVLEN', '.', 'Integer', null), ('INFO', 'SVCLAIM', 'A', 'String', 'FieldTooNew'), ('INFO', 'NOPE', null, null, 'UnknownReserved'), ('FORMAT', 'GT', '1', 'String', null),
+  ('FORMAT', 'LEN', '1', 'Integer', 'FieldTooNew'), ('FORMAT', 'AC', null, null, 'UnknownReserved'), ('INFO', 'DB', '0', 'Flag', null)) t(kind, id, number, type, error)""")
+def reserved_lookup(spark, sf_dir):
+    return D.resolve_reserved(spark.createDataFrame(_DECLARED, "kind string, id string"), "VCFv4.3").select("kind", "id", "number", "type", "error")
+
+
+# -- generation
+
+
+@query("""with w as (select n_nationkey as place, cast(n_nationkey * n_nationkey + 1 as double) as weight from nation), p as (select place, weight / sum(weight) over () * 100003.0::double as raw from w),
+  q as (select place, floor(raw)::bigint as base, row_number() over (order by raw - floor(raw) desc, place) as rank from p) select place, base + (rank <= 100003 - (select sum(base) from q))::bigint as records from q""")
+def apportion_records(spark, sf_dir):
+    k = F.col("n_nationkey")
+    return sizing.apportion_frame(spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("place"), (k * k + 1).cast("double").alias("weight")), 100_003)
+
+
+@query("select chrom, pk, sk, ln, pos, cast(sum(1 + pk % 100) over (partition by chrom order by pk, sk, ln, pos rows unbounded preceding) as bigint) as running from variants")
+def running_positions(spark, sf_dir):
+    order = Window.partitionBy("chrom").orderBy("pk", "sk", "ln", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return variants(spark, sf_dir).select("chrom", "pk", "sk", "ln", "pos", F.sum(1 + F.col("pk") % 100).over(order).alias("running"))
+
+
+@query("with b as (select chrom, pos // 500 as block, cast(sum(1 + pk % 100) as bigint) as span from variants group by 1, 2) select chrom, block, span, cast(coalesce(sum(span) over (partition by chrom order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as start from b")
+def block_offsets(spark, sf_dir):
+    spans = variants(spark, sf_dir).groupBy("chrom", F.floor(F.col("pos") / 500).alias("block")).agg(F.sum(1 + F.col("pk") % 100).alias("span"))
+    before = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("start", F.coalesce(F.sum("span").over(before), F.lit(0)).cast("bigint"))
+
+
+_SLOT = "('0x' || substr(md5(concat({}, '/', cast(slot as varchar))), 1, 12))::bigint"
+
+
+@query(f"""select pk, sk, ln, pos, count(*) as placed, cast(sum(slot) as bigint) as slots from (select pk, sk, ln, pos, slot, row_number() over (partition by pk, sk, ln, pos order by h, slot) as r
+    from (select distinct pk, sk, ln, pos, slot, {_SLOT.format(_KEY)} as h from (select *, unnest(range(0, 16)) as slot from variants))) where r <= 1 + pk % 16 group by all""")
+def exact_ac_placement(spark, sf_dir):
+    """Exactly 1 + pk % 16 of 16 slots for each record, those with the smallest hashes: an array sort, no shuffle by slot."""
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("pk", "sk", "ln", "pos")])
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda s: F.struct(F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), s.cast("string")).cast("binary")), 1, 12), 16, 10).cast("bigint").alias("h"), s.alias("slot")))
+    chosen = F.slice(F.array_sort(hashed), F.lit(1), (1 + F.col("pk") % 16).cast("int"))
+    rows = variants(spark, sf_dir).select("pk", "sk", "ln", "pos").distinct()
+    return rows.select("pk", "sk", "ln", "pos", F.size(chosen).cast("bigint").alias("placed"), F.aggregate(chosen, F.lit(0).cast("bigint"), lambda a, x: a + x["slot"]).alias("slots"))
+
+
+@query(f"""select bin, count(*) as n, min(value) as low, max(value) as high from (select bin, cast(floor(e0 + v * (e1 - e0)) as bigint) as value from (
+    select v, case when u <= 0.25 then 0 when u <= 0.75 then 1 else 2 end as bin, case when u <= 0.25 then 1.0::double when u <= 0.75 then 2.0 else 10.0 end as e0, case when u <= 0.25 then 2.0::double when u <= 0.75 then 10.0 else 100.0 end as e1
+    from (select {_U.format(_KEY, 'u')} as u, {_U.format(_KEY, 'v')} as v from variants))) group by bin""")
+def histogram_sample(spark, sf_dir):
+    """Inverse-transform sampling from weights 1, 2, 1 over edges 1, 2, 10, 100, floored."""
+    edges = F.array(*[F.lit(float(e)) for e in (1, 2, 10, 100)])
+    k = F.when(_uniform("u") <= 0.25, 0).when(_uniform("u") <= 0.75, 1).otherwise(2)
+    rows = variants(spark, sf_dir).select(k.alias("bin"), _uniform("v").alias("v"))
+    value = F.floor(F.get(edges, F.col("bin")) + F.col("v") * (F.get(edges, F.col("bin") + 1) - F.get(edges, F.col("bin"))))
+    return rows.select("bin", value.alias("value")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query(f"select chrom, count(*) as n_records, min(pos) as pos_min, max(pos) as pos_max, count(*) * {2 * SAMPLES} as n_alleles, cast(sum(ac) as bigint) as n_nonref from counts group by chrom")
+def summary_totals(spark, sf_dir):
+    return summary.summarize(with_calls(variants(spark, sf_dir)).withColumn("gts", F.flatten("calls")))
+
+
+_GENOME = "genome as (select concat('chr', n_regionkey + 1) as chrom, string_agg(translate(md5(n_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' order by n_nationkey) as sequence from nation group by 1), loci as (select p_partkey, concat('chr', 1 + p_partkey % 6) as chrom, p_partkey % 45 as pos0 from part)"
+
+
+def _genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    bases = F.translate(F.md5(F.col("n_name").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", bases.alias("s")))), lambda x: x["s"])
+    return nation.groupBy(F.concat(F.lit("chr"), (F.col("n_regionkey") + 1).cast("string")).alias("chrom")).agg(F.array_join(parts, "").alias("sequence"))
+
+
+def _loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k, F.concat(F.lit("chr"), (1 + k % 6).cast("string")).alias("chrom"), (k % 45).alias("pos0"))
+
+
+@query(f"with {_GENOME} select p_partkey, chrom, pos0, case when sequence is null then 'ContigNotFound' when pos0 + 5 > length(sequence) then 'OutOfBounds' end as error, case when pos0 + 5 <= length(sequence) then substr(sequence, cast(pos0 + 1 as int), 5) end as seq from loci left join genome using (chrom)")
+def reference_slice(spark, sf_dir):
+    return reference.slices(_loci(spark, sf_dir), _genome(spark, sf_dir), 5).select("p_partkey", "chrom", "pos0", "error", "seq")
+
+
+_KLASS = "list_extract(['SNP', 'MNP', 'INS', 'DEL', 'DELINS', 'SPANNING_DEL'], cast(p_partkey % 6 + 1 as int))"
+
+
+@query(f"""with {_GENOME} select p_partkey, klass, case when klass = 'DEL' then substr(sequence, i, 3) when klass in ('MNP', 'DELINS') then substr(sequence, i, 2) else substr(sequence, i, 1) end as ref,
+  case klass when 'SNP' then translate(substr(sequence, i, 1), 'ACGT', 'CGTA') when 'MNP' then translate(substr(sequence, i, 2), 'ACGT', 'CGTA') when 'INS' then concat(substr(sequence, i, 1), 'GG') when 'DEL' then substr(sequence, i, 1) when 'DELINS' then 'GG' else '*' end as alt
+  from (select *, {_KLASS} as klass, cast(pos0 % 10 + 1 as int) as i from loci join genome using (chrom))""")
+def draw_ref_alt(spark, sf_dir):
+    klass = F.get(F.array(*map(F.lit, ("SNP", "MNP", "INS", "DEL", "DELINS", "SPANNING_DEL"))), (F.col("p_partkey") % 6).cast("int"))
+    rows = _loci(spark, sf_dir).join(F.broadcast(_genome(spark, sf_dir)), "chrom").withColumn("klass", klass)
+    return rows.withColumn("x", reference.draw_ref_alt(F.col("klass"), F.col("sequence"), F.col("pos0") % 10, 1, 2, "GG", 2)).select("p_partkey", "klass", "x.ref", "x.alt")
+
+
+@query(f"with {_GENOME} select chrom, regexp_replace(regexp_replace(sequence, '(.{{20}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as fasta from genome")
+def fasta_wrap(spark, sf_dir):
+    return _genome(spark, sf_dir).select("chrom", T.fasta("sequence", 20).alias("fasta"))
+
+
+def _spec(**changes) -> generate.CohortSpec:
+    return generate.CohortSpec(Profile.builtin("germline-1kgp"), 8, ("chr1", "chr2"), sizing.Size.records(2400), seed=42).with_(**changes)
+
+
+@query()
+def generate_cohort(spark, sf_dir):
+    return generate.generate(spark, _spec()).select("chrom", "local_block", "rec_idx", "pos", "ref", F.array_join("alts", ",").alias("alt"), "class", "phased")
+
+
+@query()
+def genotype_checksum(spark, sf_dir):
+    return summary.checksums(generate.generate(spark, _spec(payload="gatk")))
+
+
+@query("select chrom, pos, ref, alt, n from (select chrom, pos, ref, alt, count(*) as n from variants group by all)")
+def vcf_roundtrip(spark, sf_dir):
+    """Rows written as VCF lines in folder parts, and read again."""
+    rows = variants(spark, sf_dir)
+    folder = tempfile.mkdtemp(prefix="lociforge-") if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir")
+    path = f"{folder}/roundtrip-{spark.sparkContext.applicationId}-{id(rows)}"
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."))
+    rows.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip")
+    return vcf.read_vcf(spark, path).groupBy("chrom", "pos", "ref", "alt").agg(F.count(F.lit(1)).alias("n"))

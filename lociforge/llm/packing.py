@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,8 @@ END_ID = 1
 BLOCK_DOCUMENTS = 65_536
 #: Characters that a worker tokenizes at a time, at least one text.
 CHUNK_CHARS = 4 << 20
+#: Words without marks whose ids a worker keeps.
+CORES = 800_000
 
 #: Letters that lower-case one by one, then punctuation without apostrophes: the tokenizer splits there.
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -43,47 +46,58 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model_path(model))
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known({"": b""})
         self.cores: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known yet; kept for later while there is room."""
-        cut = {w: m.groups() for w in words if (m := _LETTERS_THEN_MARKS.fullmatch(w))}
-        cut = {w: (a.lower(), b) for w, (a, b) in cut.items()}
-        cores = {p for pair in cut.values() for p in pair} - self.cores.keys()
-        rest = list(words - cut.keys())
-        ids = self._encode([*cores, *rest])
-        found = dict(zip(cores, ids, strict=False))
-        if len(self.cores) < CACHE_ENTRIES:
-            self.cores |= found
-        look = lambda p: found[p] if p in found else self.cores[p]
-        new = {w: look(a) + look(b) for w, (a, b) in cut.items()} | dict(zip(rest, ids[len(cores) :], strict=True))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of words that aren't known yet; kept for good while there is room, else until the next call."""
+        cut, rest, cores, known = [], [], set(), self.cores
+        match = _LETTERS_THEN_MARKS.fullmatch
+        for w in words:
+            if m := match(w):
+                a, b = m.groups()
+                a = a.lower()
+                cut.append((w, a, b))
+                if a not in known:
+                    cores.add(a)
+                if b not in known:
+                    cores.add(b)
+            else:
+                rest.append(w)
+        own = list(cores)
+        ids = self._encode(own + rest)
+        found = dict(zip(own, ids, strict=False))
+        if len(known) < CORES:
+            known |= found
+            new = {w: known[a] + known[b] for w, a, b in cut}
+        else:
+            new = {w: (found[a] if a in found else known[a]) + (found[b] if b in found else known[b]) for w, a, b in cut}
+        new.update(zip(rest, ids[len(own) :], strict=True))
         if len(self.known) < CACHE_ENTRIES:
-            self.known |= new
-        return new
+            self.known.update(new)
+            new = {}
+        self.known.extra = new
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in batch]
-        new = set().union(*words) - self.known.keys()
-        ids = self.known
-        if new:
-            extra = self.learn(new)
-            if len(self.known) >= CACHE_ENTRIES:
-                ids = _Both(extra, self.known)
-        get = ids.__getitem__
+        if new := set().union(*words) - self.known.keys():
+            self.learn(new)
+        get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
-class _Both(dict):
-    def __init__(self, first: dict, second: dict):
+class _Known(dict):
+    """Falls back on a second dict."""
+
+    def __init__(self, first: dict):
         super().__init__(first)
-        self.second = second
+        self.extra: dict = {}
 
     def __missing__(self, key):
-        return self.second[key]
+        return self.extra[key]
 
 
 @lru_cache(maxsize=2)

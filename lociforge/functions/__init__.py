@@ -1,0 +1 @@
+"""Column functions: alleles, genotypes, field declarations, text."""

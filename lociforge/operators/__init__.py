@@ -1,0 +1 @@
+"""Operators over DataFrames: cohort statistics, records, generation, sizing, summaries, references."""

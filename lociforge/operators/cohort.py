@@ -113,7 +113,7 @@ def sfs_histogram(counts: DataFrame, ac: str, n_samples: int) -> DataFrame:
 
 def split_allele_counts(acount: DataFrame) -> DataFrame:
     """``ac`` per allele from comma-joined ``ALT_CTS``."""
-    return acount.select(F.explode(F.split("ALT_CTS", ",")).cast("double").alias("ac"))
+    return acount.select(F.explode(F.split("ALT_CTS", ",")).alias("ac")).select(F.col("ac").cast("double").alias("ac"))
 
 
 def missing_rate(missing: DataFrame) -> DataFrame:

@@ -1,0 +1 @@
+"""Sources and sinks: variant text, profiles, BGZF, BCF, indexes."""

@@ -1,6 +1,6 @@
 """Text sources: variant tables, VCF, and count reports. Schemas are given, never inferred, so contig "22" stays text.
 
-Everything is a plain text scan with columns cut from the line, so a query that doesn't ask for the samples doesn't split
+Positions and counts that are no numbers read as null. Everything is a plain text scan with columns cut from the line, so a query that doesn't ask for the samples doesn't split
 them. Compressed input works as far as the reader's codecs go (gzip and BGZF members, zstd).
 """
 
@@ -28,7 +28,7 @@ def read_variants(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     at = {name: k for k, name in enumerate(header[0].split("\t"), 1)}
     get = lambda name: _field(at[name])
     rows = _lines(spark, path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
-    return rows.select(get("#CHROM").alias("chrom"), get("POS").cast("bigint").alias("pos"), get("ID").alias("id"), get("REF").alias("ref"), get("ALT").alias("alt"))
+    return rows.select(get("#CHROM").alias("chrom"), get("POS").try_cast("bigint").alias("pos"), get("ID").alias("id"), get("REF").alias("ref"), get("ALT").alias("alt"))
 
 
 def count_meta_lines(spark: SparkSession, path: str) -> int:
@@ -50,7 +50,7 @@ def read_vcf(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``chrom, pos, id, ref, alt, qual, filter, info, format, samples`` of VCF lines; samples are their columns' texts."""
     rows = _lines(spark, path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
     names = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
-    fixed = [_field(k).cast("bigint").alias(n) if n == "pos" else (F.nullif(_field(k), F.lit("")) if n == "format" else _field(k)).alias(n) for k, n in enumerate(names, 1)]
+    fixed = [_field(k).try_cast("bigint").alias(n) if n == "pos" else (F.nullif(_field(k), F.lit("")) if n == "format" else _field(k)).alias(n) for k, n in enumerate(names, 1)]
     cells = F.split("value", "\t")
     return rows.select(*fixed, F.when(F.size(cells) > 9, F.slice(cells, 10, F.size(cells))).otherwise(F.array().cast("array<string>")).alias("samples"))
 
@@ -69,7 +69,7 @@ def read_sites(spark: SparkSession, path: str | Sequence[str], contigs: Sequence
     rows = read_vcf(spark, path).where("filter = 'PASS'")
     if contigs:
         rows = rows.where(F.col("chrom").isin(*contigs))
-    return rows.select("chrom", "pos", F.lit(".").alias("id"), "ref", "alt", info_value("info", "AC").cast("bigint").alias("ac"), info_value("info", "AN").cast("bigint").alias("an"))
+    return rows.select("chrom", "pos", F.lit(".").alias("id"), "ref", "alt", info_value("info", "AC").try_cast("bigint").alias("ac"), info_value("info", "AN").try_cast("bigint").alias("an"))
 
 
 def explode_genotypes(records: DataFrame, keys: Sequence[str] = ("chrom", "pos")) -> DataFrame:

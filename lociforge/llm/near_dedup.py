@@ -6,12 +6,19 @@ plain banding would take ``2 * ROWS`` for each table. Two sets of similarity 0.8
 less than 0.0008.
 
 Equal sets count once. Bands that no other set has make no keys. In a table's bucket every set is held against the
-smallest id (a star, not all pairs); where a bucket still holds different components after that, the pairs between
-them are held against each other. Every link is confirmed on the full sets of both texts, as integers.
+bucket's center, its smallest id (a star, not all pairs). What the star leaves apart is searched through differences: with
+``d(x)`` the symmetric difference of x and the center, two sets x, y of sizes n, m are linked if and only if
+``|d(x)| + |d(y)| - 2 |d(x) & d(y)| <= c (n + m)`` with ``c = (1 - s) / (1 + s)``. A set that isn't linked with the center
+has a large difference, so a link with it needs a large common part of the differences, and prefixes of the two
+differences (in an order from rare to common, as a sample of the center's family shows) share an element. Only such pairs
+are compared; members of a family that vary independently share none but the common elements, which come last. A family
+finds all links between its members, so two sets with the same largest family meet there and in no other. Every link is
+confirmed on the full sets of both texts, as integers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WordCache, texts, written
+from .common import BROADCAST_IDS, WordCache, texts, use_worker, written
 from .components import components
 
 WORDS = 5
 PERCENT = 80
 TABLES = 12
 ROWS = 3
+#: Members of a family whose differences set the order of elements, about.
+SAMPLED = 48
 
 _RNG = np.random.Generator(np.random.Philox(key=11))
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,6 +43,11 @@ _FUNCTIONS = (_RNG.integers(1, 2**63, 2 * TABLES * ROWS, dtype=np.uint64) * np.u
 _HASH = WordCache(xxhash.xxh64_intdigest, 600_000)
 
 
+def _own_worker() -> None:
+    use_worker("near", _HASH.reset)
+
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Distinct 64-bit hashes, ascending, of the runs of ``words`` words; of all words if they are fewer; none without words.
 
@@ -71,6 +85,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, set_high, set_low, bands``: size, 128-bit hash and bands of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
         for batch in batches:
             n, high, low, found = [], [], [], []
             for x in batch.column(1):
@@ -98,15 +113,11 @@ def _keys(sets: DataFrame) -> DataFrame:
     return kept.select("id", "n", "second", F.explode("first").alias("a")).select("id", "n", "a", F.explode("second").alias("b")).select("id", "n", F.xxhash64("a", "b").alias("key"))
 
 
-def _fits(a: str, b: str, percent: int):
-    """Sets whose sizes alone don't rule the similarity out."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
-
 def confirm(pairs: DataFrame, bodies: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``; bodies are ``id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
         last, left = None, None
         for batch in batches:
             keep = []
@@ -119,8 +130,105 @@ def confirm(pairs: DataFrame, bodies: DataFrame, words: int = WORDS, percent: in
                 keep.append(100 * both >= percent * (len(left) + len(right) - both) > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return _both_texts(pairs, bodies).mapInArrow(run, "a long, b long")
+
+
+def _both_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     joined = pairs.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b")
+
+
+def compare_stars(pairs: DataFrame, bodies: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``a, b, a_n, n, linked, d``: pairs of a center and another set, with their sizes and symmetric difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
+        last, left = None, None
+        for batch in batches:
+            sizes, linked, out = [], [], []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, left = a, shingles(x.as_py(), words)
+                right = shingles(y.as_py(), words)
+                at = np.minimum(np.searchsorted(left, right), len(left) - 1)
+                hit = left[at] == right
+                gone = np.ones(len(left), bool)
+                gone[at[hit]] = False
+                both = int(hit.sum())
+                sizes.append((len(left), len(right)))
+                linked.append(100 * both >= percent * (len(left) + len(right) - both))
+                out.append(np.concatenate([right[~hit], left[gone]]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1)), pa.array(linked, pa.bool_()), _lists(out)], ["a", "b", "a_n", "n", "linked", "d"])
+
+    return _both_texts(pairs, bodies).mapInArrow(run, "a long, b long, a_n long, n long, linked boolean, d array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+#: Bounds of classes of a difference's size, as shares of the largest one that a linked set may have; above 1, sets aren't linked.
+CLASSES = (0, 0.25, 0.5, 0.75, 1, 1.25, 1.5, 2, 3, math.inf)
+UNLINKED = 4
+
+
+def prefix_lengths(size: int, n: int, center: int, linked: bool, percent: int) -> tuple[int, list[tuple[int, int]]]:
+    """The class of a set's difference, and, per class that it could find a link in, how long its prefix must be.
+
+    Of two linked sets nothing is asked. Another set has from 0.8 to 1 / 0.8 times this one's size n, and of a class that
+    starts at share f a difference of at least f c (its size + the center's).
+    """
+    c = (100 - percent) / (100 + percent)
+    low, high = n * percent / 100, n * 100 / percent
+    share = size / (c * (n + center))
+    own = next(k for k in range(len(CLASSES) - 1) if share < CLASSES[k + 1])
+    own = min(own, UNLINKED - 1) if linked else max(own, UNLINKED)
+    out = []
+    for k, (f, g) in enumerate(zip(CLASSES, CLASSES[1:], strict=False)):
+        if (linked and k < UNLINKED) or size - g * c * (high + center) > c * (n + high) or f * c * (low + center) - size > c * (n + high):
+            continue  # the sizes of the differences alone rule a link out
+        least = (size + f * c * center - c * n + (f - 1) * c * (low if f > 1 else high)) / 2
+        if length := max(0, size - max(1, math.ceil(least - 1e-9)) + 1):
+            out.append((k, length))
+    return own, out
+
+
+def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b, n, part, main, apart, own, other, e``: a row per element of each prefix, from ``compare_stars`` rows with their components.
+
+    The order of elements is by how many of a sample of the family's differences hold them, then by value. The sample
+    (about ``SAMPLED`` members) only sets the order; every member has its prefixes.
+    """
+    members = family.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    drawn = F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / SAMPLED)) == 0
+    sample = family.join(members, "a").where(drawn).select("a", F.explode("d").alias("e"))
+    common = sample.groupBy("a", "e").agg(F.count(F.lit(1)).alias("held")).where("held > 1").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("e", "held"))).alias("common"))
+    common = common.select("a", F.col("common.e").alias("ce"), F.col("common.held").alias("ch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, classes, out = [], [], []
+            rows = zip(*(batch.column(k).to_pylist() for k in (2, 4, 5)), *(batch.column(k) for k in (7, 8, 9)), strict=True)
+            for i, (n, center, linked, d, ce, ch) in enumerate(rows):
+                d = d.values.to_numpy()
+                held = np.zeros(len(d), np.int64)
+                if ce.is_valid:
+                    ce, ch = ce.values.to_numpy(), ch.values.to_numpy()
+                    k = np.minimum(np.searchsorted(ce, d), len(ce) - 1)
+                    held = np.where(ce[k] == d, ch[k], 0)
+                order = np.lexsort((d, held))
+                own, found = prefix_lengths(len(d), n, center, linked, percent)
+                for other, length in found:
+                    at.append(i)
+                    classes.append((own, other))
+                    out.append(d[order[:length]])
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), kept.column(3), kept.column(10), kept.column(6), *(pa.array([c[k] for c in classes], pa.int32()) for k in (0, 1)), _lists(out)], ["a", "b", "n", "part", "main", "apart", "own", "other", "es"])
+
+    rows = family.join(common, "a", "left").select("a", "b", "n", "part", "a_n", "linked", "apart", "d", "ce", "ch", "main")
+    made = rows.mapInArrow(run, "a long, b long, n long, part long, main long, apart boolean, own int, other int, es array<long>")
+    return made.select("a", "b", "n", "part", "main", "apart", "own", "other", F.explode("es").alias("e"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -144,19 +252,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     bodies = texts(docs).withColumnRenamed("doc_id", "id").join(candidates, "id") if few else texts(docs).withColumnRenamed("doc_id", "id").limit(0)
     bodies = written(bodies.dropDuplicates(["id"]), "near-bodies")
 
-    sizes = keys.select(F.col("id").alias("center"), F.col("n").alias("center_n")).distinct()
-    star = keys.where("id <> center").select(F.col("center"), "id", "n").distinct().join(sizes, "center").where(_fits("n", "center_n", percent))
-    star = written(star.select(F.col("center").alias("a"), F.col("id").alias("b")), "near-star")
-    links = written(confirm(star, bodies, words, percent), "near-links")
-
-    # buckets that the stars leave in different components
-    labels = components(links)
-    told = keys.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = told.join(mixed, "key")
-    right = left.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-    cross = left.withColumnRenamed("id", "a").join(right, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("b_component")) & _fits("n", "b_n", percent)).select("a", "b").distinct()
-    cross = written(cross.join(star, ["a", "b"], "left_anti"), "near-cross")
+    star = keys.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    star = written(compare_stars(star, bodies, words, percent), "near-star")
+    links = written(star.where("linked").select("a", "b"), "near-links")
+
+    # what the stars leave in other components than their center's
+    labels = written(components(links), "near-labels")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    told = star.join(of("b"), "b", "left").join(of("a"), "a", "left").select("a", "b", "a_n", "n", "linked", "d", F.coalesce("b_part", "b").alias("part"), F.coalesce("a_part", "a").alias("center_part"))
+    members = star.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    largest = star.select("a", "b").join(members, "a").groupBy("b").agg(F.max(F.struct("members", (-F.col("a")).alias("minus"))).alias("most")).select("b", (-F.col("most")["minus"]).alias("main"))
+    told = written(told.withColumn("apart", F.col("part") != F.col("center_part")).join(largest, "b"), "near-told")
+    family = told.join(told.where("apart").select("a").distinct(), "a", "left_semi")
+    marks = written(prefixes(family, percent), "near-prefixes")
+    name = lambda c, own, other: ["a", "e", F.col("own").alias(own), F.col("other").alias(other), F.col("b").alias(c), F.col("n").alias(f"{c}_n"), F.col("part").alias(f"{c}_part"), F.col("main").alias(f"{c}_main")]
+    x, y = marks.where("apart").select(*name("x", "x_class", "y_class")), marks.where(F.col("other") >= UNLINKED).select(*name("y", "y_class", "x_class"))
+    fits = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
+    met = x.join(y, ["a", "e", "x_class", "y_class"]).where((F.col("x_part") != F.col("y_part")) & fits & ((F.col("x_main") != F.col("y_main")) | (F.col("a") == F.col("x_main"))))
+    cross = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cross = written(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), "near-cross")
     more = confirm(cross, bodies, words, percent)
 
     # a pair's two components are as good as its two sets

@@ -27,14 +27,24 @@ STRIDE = 1_000_000
 POSITION, CONTENT = 1, 2
 PAYLOAD_KEYS = {"gt-only": ("GT",), "gt-vaf": ("GT", "VAF"), "gatk": ("GT", "AD", "DP", "GQ", "PL"), "mutect2": ("GT", "AD", "AF", "DP", "F1R2", "F2R1", "SB")}
 FORMATS = ("bcf", "vcf-gz", "vcf")
+_MASK = (1 << 64) - 1
 
 
 def block_records(n_samples: int, ploidy: int) -> int:
     return min(BLOCK_RECORDS, max(1, BLOCK_CELLS // max(1, n_samples * max(1, ploidy))))
 
 
+def mix(z: int) -> int:
+    """The splitmix64 finalizer."""
+    z &= _MASK
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & _MASK
+    return z ^ z >> 31
+
+
 def block_rng(seed: int, block: int, stream: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=np.array([seed & (1 << 64) - 1, block << 2 | stream], np.uint64)))
+    """A counter-based generator that depends on nothing but its three arguments."""
+    return np.random.Generator(np.random.Philox(key=np.array([mix(seed), block << 2 | stream], np.uint64)))
 
 
 class HistogramSampler:

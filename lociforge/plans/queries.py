@@ -181,9 +181,10 @@ def phased_rate(spark, sf_dir):
   sum((class = 'snp' and {TRANSITION})::int) / sum((class = 'snp' and not {TRANSITION})::int) as titv, sum((class = 'snp')::int) / count(*) as snp_share, sum((class = 'insertion')::int) / count(*) as insertion_share from alleles""")
 def profile_scalars(spark, sf_dir):
     contigs = cohort.record_stats(variants(spark, sf_dir)).agg(F.sum("n").alias("n_records"), (F.sum("multi") / F.sum("n")).alias("multiallelic_rate"))
-    stats = cohort.allele_stats(_alleles(spark, sf_dir))
+    both = contigs.unionByName(cohort.allele_stats(_alleles(spark, sf_dir)), allowMissingColumns=True)
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])  # of two rows
     every = sum((F.col(c) for c in A.FIT_CLASSES), F.lit(0))
-    return contigs.crossJoin(stats).select(  # one row each
+    return one.select(
         "n_records", every.cast("bigint").alias("n_alleles"), "multiallelic_rate", (F.col("n_ts") / (F.col("snp") - F.col("n_ts"))).alias("titv"), (F.col("snp") / every).alias("snp_share"), (F.col("insertion") / every).alias("insertion_share")
     )
 

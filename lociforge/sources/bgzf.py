@@ -82,6 +82,23 @@ class CsiIndex:
         if self.first[contig] is None:
             self.first[contig] = begin
 
+    def entries(self, contig: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+        """Chunks as bin, begin, end, and windows with their first offset: what a block passes on."""
+        return [(b, *c) for b, chunks in self.bins[contig].items() for c in chunks], list(self.windows[contig].items())
+
+    def merge(self, contig: int, chunks: list[tuple[int, int, int]], windows: list[tuple[int, int]], shift: int) -> None:
+        """Adds the entries of the next block in file order, whose data starts ``shift`` further on."""
+        for b, begin, end in chunks:
+            own = self.bins[contig].setdefault(b, [])
+            if own and own[-1][1] == begin + shift:
+                own[-1][1] = end + shift
+            else:
+                own.append([begin + shift, end + shift])
+        for w, begin in windows:
+            self.windows[contig].setdefault(w, begin + shift)
+        if windows and self.first[contig] is None:
+            self.first[contig] = min(begin for _, begin in windows) + shift
+
     def _least(self, contig: int, b: int) -> int:
         """The first record over a bin's range; of wide bins, the contig's first."""
         leaf = b - ((1 << 3 * DEPTH) - 1) // 7

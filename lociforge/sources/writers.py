@@ -90,7 +90,7 @@ def text_block(block: Block, chrom: str, ploidy: int, payload: str) -> list[byte
     return out
 
 
-_PARTIAL = "contig_idx int, local_block bigint, n bigint, low bigint, high bigint, classes array<bigint>, alleles bigint, nonref bigint, checksum binary, part string, at bigint, size bigint, bins binary"
+_PARTIAL = "contig_idx int, local_block bigint, n bigint, low bigint, high bigint, classes array<bigint>, alleles bigint, nonref bigint, checksum binary, part string, at bigint, size bigint, chunks binary, windows binary"
 
 
 def encode_parts(placed: DataFrame, spec: CohortSpec, folder: str) -> DataFrame:
@@ -106,7 +106,7 @@ def encode_parts(placed: DataFrame, spec: CohortSpec, folder: str) -> DataFrame:
                 for c, k, n, _, offset in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                     block = spec.block(c * STRIDE + k, n, offset)
                     records = bcf.encode_block(block, c, ploidy, payload) if spec.format == "bcf" else text_block(block, spec.contigs[c], ploidy, payload)
-                    data, entries = b"".join(records), b""
+                    data, chunks, windows = b"".join(records), b"", b""
                     if packed:
                         body, starts = bgzf.members(data, level)
                     else:
@@ -114,14 +114,18 @@ def encode_parts(placed: DataFrame, spec: CohortSpec, folder: str) -> DataFrame:
                     if spec.format == "bcf":
                         ends = np.cumsum([len(r) for r in records])
                         spots = [bgzf.virtual(starts, len(body), int(e)) for e in [0, *ends]]
-                        entries = b"".join([struct.pack("<4Q", p - 1, p - 1 + len(r), a, b) for p, r, a, b in zip(block.positions.tolist(), block.refs, spots, spots[1:], strict=False)])
+                        own = bgzf.CsiIndex([""], vcf=False)
+                        for p, r, begin, end in zip(block.positions.tolist(), block.refs, spots, spots[1:], strict=False):
+                            own.add(0, p - 1, p - 1 + len(r), begin, end)
+                        found = own.entries(0)
+                        chunks, windows = b"".join([struct.pack("<3Q", *x) for x in found[0]]), b"".join([struct.pack("<2Q", *x) for x in found[1]])
                     out.write(body)
                     m, low, high, classes, alleles, nonref, checksum = block_partial(block.positions, block.classes, block.calls)
-                    rows.append((c, k, m, low, high, classes, alleles, nonref, checksum.to_bytes(8, "little"), name, at, len(body), entries))
+                    rows.append((c, k, m, low, high, classes, alleles, nonref, checksum.to_bytes(8, "little"), name, at, len(body), chunks, windows))
                     at += len(body)
         os.replace(mine, name)
         if rows:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _PARTIAL.replace("array<bigint>", "a").split(", ")])
 
     return placed.mapInArrow(run, _PARTIAL)
@@ -149,8 +153,7 @@ def _write_once(spark: SparkSession, spec: CohortSpec, counts: Sequence[int], fo
     shutil.rmtree(parts)
     for r in rows:
         summary.merge_block(spec.contigs[r["contig_idx"]], r["n"], r["low"], r["high"], r["classes"], r["alleles"], r["nonref"], int.from_bytes(r["checksum"], "little"))
-        for start0, end0, a, b in struct.iter_unpack("<4Q", r["bins"]):
-            index.add(r["contig_idx"], start0, end0, a + (at << 16), b + (at << 16))
+        index.merge(r["contig_idx"], list(struct.iter_unpack("<3Q", r["chunks"])), list(struct.iter_unpack("<2Q", r["windows"])), at << 16)
         at += r["size"]
     return path, index.dump() if spec.format == "bcf" else None, summary
 

@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage works on all that its predecessor kept.
 
 ``run`` applies the stages to ``documents``. All stages but the last return the columns of ``documents``; the last packs
-what is left and returns a row per piece.
+what is left and returns a row per piece. Rows without a doc_id can't be told apart and go in the first stage; an empty
+table stays empty.
 """
 
 from __future__ import annotations

@@ -86,7 +86,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int =
     """``doc_id, keep_id, group_size, kept, text_sha256`` of each row; of equal texts the largest doc_id stays.
 
     A null text is an empty one, and all empty texts are equal. Rows that repeat both doc_id and text are one
-    document: each is reported, with the same decision. An empty table gives an empty result. Columns other than
+    document: each is reported, with the same decision. A null doc_id is smaller than any other. An empty table gives an empty result. Columns other than
     doc_id and text are not read.
     """
     index = build_index(docs, capacity, max_depth)
@@ -97,7 +97,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int =
         out = rows.drop("text").join(found, on)
     else:  # two texts share both hashes and their length: the digest tells them apart
         out = rows.withColumn("text_sha256", F.sha2("text", 256)).drop("text").join(found, [*on, "text_sha256"])
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:

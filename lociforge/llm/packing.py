@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, texts
+from .common import CACHE_ENTRIES, texts, use_worker
 from .merges import model_path
 
 MODEL = "word_bpe_49k.json"
@@ -32,7 +31,9 @@ BLOCK_DOCUMENTS = 65_536
 #: Characters that a worker tokenizes at a time, at least one text.
 CHUNK_CHARS = 4 << 20
 #: Words without marks whose ids a worker keeps.
-CORES = 800_000
+CORES = 600_000
+#: Words that the tokenizer gets at a time.
+ENCODED = 4096
 
 #: Letters that lower-case one by one, then punctuation without apostrophes: the tokenizer splits there.
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -50,7 +51,8 @@ class WordTokens:
         self.cores: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        parts = (words[i : i + ENCODED] for i in range(0, len(words), ENCODED))
+        return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
         """Ids of words that aren't known yet; kept for good while there is room, else until the next call."""
@@ -113,6 +115,7 @@ def document_pieces(docs: DataFrame, model: str = MODEL, capacity: int = CAPACIT
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("packing", _tokens.cache_clear)
         tokens = _tokens(model)
         for batch in batches:
             rows: list[list[int]] = [[], [], [], [], []]
@@ -187,21 +190,20 @@ def pack(docs: DataFrame, model: str = MODEL, capacity: int = CAPACITY, end_id:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece.
 
     Null and empty texts are a piece of length 1. Repeated rows are packed each; ties are settled by doc_id, piece and
-    checksum, so the result doesn't depend on how the input is split. An empty table gives an empty result; columns
-    other than doc_id and text are not read. One shuffle, of a row per piece.
+    checksum, so the result doesn't depend on how the input is split. Rows
+    with a null doc_id are packed as any other. An empty table gives an empty result; columns other than doc_id and text are
+    not read. One shuffle, of a row per piece.
     """
     blocks = max(1, round(docs.count() / block_documents))
 
-    def own(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
-        lengths = frame["length"].to_numpy()
-        part = np.flatnonzero(lengths < capacity)
-        bins, offsets = np.empty(len(frame), np.int64), np.zeros(len(frame), np.int64)
+    def own(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        lengths = table.column("length").to_numpy()
+        part, whole = np.flatnonzero(lengths < capacity), np.flatnonzero(lengths == capacity)
+        bins, offsets = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         bins[part], offsets[part] = pack_lengths(lengths[part], capacity)
-        whole = np.flatnonzero(lengths == capacity)
         bins[whole] = np.arange(len(whole)) + (bins[part].max() + 1 if len(part) else 0)
-        frame["sequence_id"], frame["offset"] = (int(key[0]) << 32) + bins, offsets
-        return frame.drop(columns="block")
+        return table.drop_columns("block").append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     pieces = document_pieces(docs, model, capacity, end_id).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    return pieces.groupBy("block").applyInPandas(own, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.groupBy("block").applyInArrow(own, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,9 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES = 400_000
 #: Ids up to which a set of them is broadcast (8 bytes each); beyond, rows are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows that Python gets at a time where whole texts, or pairs of them, are read for a table in the shared folder.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,16 +44,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: the lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_in_use: dict[str, Callable[[], object]] = {}
+
+
+def use_worker(name: str, drop: Callable[[], object]) -> None:
+    """Says whose caches this Python worker holds from now on; another operator's are dropped, so they never add up."""
+    others = [n for n in _in_use if n != name]
+    for other in others:
+        _in_use.pop(other)()
+    _in_use[name] = drop
+    if others:  # and the memory goes back to the machine
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc's
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordCache(dict):
     """word -> ``make(word)``, computed once while there is room and each time after that."""
 
     def __init__(self, make, room: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.room = make, room
+        self.make, self.room, self.size = make, room, room
+
+    def reset(self) -> None:
+        self.clear()
+        self.room = self.size
 
     def __missing__(self, word):
         value = self.make(word)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import use_worker, written
 
 ORDER = 5
 #: Labelled documents per language that a model is fitted on, about; a tenth of them calibrates.
@@ -28,7 +28,9 @@ MAX_LANGUAGES = 200
 #: Letters of evidence from which the posterior doesn't sharpen any more.
 EVIDENCE = 100
 #: Words whose scores a worker keeps.
-WORDS = 400_000
+WORDS = 250_000
+#: Words that are scored at a time.
+SCORED = 8192
 BEGIN, END = "\x02", "\x03"
 UNKNOWN = "und"
 
@@ -41,7 +43,7 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(ORDER):
             h = h.copy()
-            h[k:] += codes[: len(codes) - k] * _M[k]
+            h[k:] += codes[: max(0, len(codes) - k)] * _M[k]
             out.append((h ^ (h >> np.uint64(29))) * _M[ORDER] + np.uint64(k))
     return out
 
@@ -62,16 +64,11 @@ class LanguageModel:
     limit: np.ndarray  # [language]: cross-entropy beyond which a text is rejected
     width: np.ndarray
 
-    def worker_scores(self) -> _Scored:
-        """Word scores that this process keeps from task to task."""
-        if "_scores" not in self.__dict__:
-            self._scores = _Scored(self)
-        return self._scores
-
     def score_words(self, words: list[str]) -> np.ndarray:
         """[word, language]: natural log of the probability of the word's letters and end mark."""
-        if not words:
-            return np.zeros((0, len(self.languages)))
+        return np.concatenate([np.zeros((0, len(self.languages))), *(self._score(words[i : i + SCORED]) for i in range(0, len(words), SCORED))])
+
+    def _score(self, words: list[str]) -> np.ndarray:
         joined = "".join([f"{BEGIN}{w}{END}" for w in words])
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
         sizes = np.array([len(w) + 2 for w in words])
@@ -136,7 +133,11 @@ def fit_counts(counts: dict[str, Counter]) -> LanguageModel:
     return LanguageModel(languages, hashes[order], table[:, :n].copy(), table[:, n:].copy(), empty, marks, np.full(n, np.inf), np.ones(n))
 
 
+_scores: list[_Scored] = []
+
+
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    use_worker("language", _scores.clear)
     counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -222,6 +223,14 @@ class _Scored:
         self.rows = {w: i for w, i in self.rows.items() if i < keep}
 
 
+def _scores_for(model: LanguageModel) -> _Scored:
+    """Word scores that this process keeps from task to task."""
+    use_worker("language", _scores.clear)
+    if not _scores or _scores[0].model is not model:
+        _scores[:] = [_Scored(model)]
+    return _scores[0]
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: str | None = None) -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, rejected`` of each whole text (and the column ``keep``, as it is).
 
@@ -235,7 +244,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        scored = own.worker_scores()
+        scored = _scores_for(own)
         n = len(own.languages)
         for batch in batches:
             sums = np.zeros((batch.num_rows, n + 1))

@@ -40,7 +40,7 @@ SAMPLED = 48
 _RNG = np.random.Generator(np.random.Philox(key=11))
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FUNCTIONS = (_RNG.integers(1, 2**63, 2 * TABLES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-_HASH = WordCache(xxhash.xxh64_intdigest, 600_000)
+_HASH = WordCache(xxhash.xxh64_intdigest, 250_000)
 
 
 def _own_worker() -> None:
@@ -207,6 +207,7 @@ def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = common.select("a", F.col("common.e").alias("ce"), F.col("common.held").alias("ch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
         for batch in batches:
             at, classes, out = [], [], []
             rows = zip(*(batch.column(k).to_pylist() for k in (2, 4, 5)), *(batch.column(k) for k in (7, 8, 9)), strict=True)
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """``doc_id, n_shingles, component_id, kept`` of each row; component_id is the smallest doc_id reachable over links.
 
     Null, empty and blank texts have an empty set, no links and a component of their own. Rows that share a doc_id are
-    one node. Texts with equal sets are linked. An empty table gives an empty result; columns other than doc_id and
+    one node; a row without one is linked with equal sets only. Texts with equal sets are linked. An empty table gives an empty result; columns other than doc_id and
     text are not read.
     """
     sketches = written(sketch(docs, words), "near-sketches")
@@ -284,4 +285,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_high", "set_low", F.coalesce("component", "id").alias("component_id"))
     out = sketches.join(named, ["set_high", "set_low"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

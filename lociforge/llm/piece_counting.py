@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, texts
+from .common import WordCache, texts, use_worker
 from .merges import parts, vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -33,6 +33,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("counting", _counted_parts.cache_clear)
         count = _counted_parts(model).__getitem__
         for batch in batches:
             n = [sum(map(count, parts(x.as_py()))) for x in batch.column(1)]

@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordCache, texts
+from .common import WordCache, texts, use_worker
 from .merges import PieceVocabulary, parts, vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -167,6 +167,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("encoding", _encoded_parts.cache_clear)
         cache = _encoded_parts(model)
         for batch in batches:
             ids, decoded = [], []
@@ -188,6 +189,7 @@ def encode_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     from hashlib import sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("encoding", _encoded_parts.cache_clear)
         cache = _encoded_parts(model)
         for batch in batches:
             counts, ids, decoded = [], [], []

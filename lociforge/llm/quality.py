@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, use_worker
 from .language_id import held_out
 
 BUCKETS = 1 << 16
@@ -27,7 +27,7 @@ BINS = 12
 SAMPLE_DOCUMENTS = 6000
 THRESHOLD = 0.3
 #: Tokens whose statistics a worker keeps.
-TOKENS = 400_000
+TOKENS = 250_000
 
 #: Per token, summed over a text.
 TOKEN_STATS = ("tokens", "chars", "letters", "upper", "digits", "marks", "other", "bare_marks", "mark_runs", "all_upper", "long")
@@ -73,6 +73,10 @@ class _Tokens:
 _TOKENS = _Tokens()
 
 
+def _own_worker() -> None:
+    use_worker("quality", _TOKENS.__init__)
+
+
 def _features(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Buckets, their values (of length 1 together), and STATS of each text."""
     tokens = [t.split() for t in batch]
@@ -176,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_documents: int = SAMPLE_DOC
     known = known.where(spot < int(1_000_000 * min(1.0, sample_documents / max(total, 1))) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
         for batch in batches:
             made = list(_features([x.as_py() for x in batch.column(1)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k].tolist() for r in made], pa.list_(pa.float64())) for k in range(3))], ["doc_id", "quality", "buckets", "values", "stats"])
@@ -195,6 +200,7 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, threshold: flo
     held = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
         own = held.value
         for batch in batches:
             scores, at = np.zeros(batch.num_rows), 0

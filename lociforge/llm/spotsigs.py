@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, texts, written
+from .common import WordCache, texts, use_worker, written
 
 CHAIN = 2
 #: Words without an anchor after which a content word may stand in for one.
@@ -44,6 +44,10 @@ def _word(token: str) -> int:
 _WORDS = WordCache(_word, 600_000)
 
 
+def _own_worker() -> None:
+    use_worker("spots", _WORDS.reset)
+
+
 def signatures(text: str) -> np.ndarray:
     """The text's distinct signatures, ascending. Without any chain, one signature of all its words (or marks); none if it has none."""
     tokens = text.lower().split()
@@ -90,6 +94,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_signatures, fingerprint`` of each whole text; a null text is an empty one, with an empty fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
         for batch in batches:
             signed = [signatures(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in signed], pa.int64()), pa.array([fingerprint(s) for s in signed], pa.string())], ["doc_id", "n_signatures", "fingerprint"])
@@ -173,6 +178,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
         now = None  # bucket, doc_id, text, signatures: waits for the next
         for batch in batches:
             out: list[tuple] = []

@@ -204,3 +204,18 @@ def test_group_sums():
     rows = rng.normal(size=(400, 3)).astype(np.float32)
     starts = np.array([0, 1, 2, 5, 100, 101, 390])
     assert np.allclose(maxent_lm.group_sums(rows, starts), np.add.reduceat(rows, starts, axis=0), atol=1e-4)
+
+
+def test_contexts_back_off_to_the_classes_of_two_words(monkeypatch):
+    """Contexts of new words share the row of their two classes, and no gradient step takes more than 4096 tokens."""
+    words = [b"", *(b"w%d" % i for i in range(900))]
+    v = maxent_lm.Vocabulary(words, np.arange(len(words), 0, -1).astype(float), {}).prepare()
+    near, far = (maxent_lm.features(v, np.array([first, two, one, 3]))[-1] for first, two, one in ((2, 700, 701), (5, 702, 703)))
+    assert v.classes[700] == v.classes[703] and v.classes[2] != v.classes[5]
+    assert len(near) == 6 and (near == far).sum() == 1
+    sizes = []
+    plain = maxent_lm.log_softmax
+    monkeypatch.setattr(maxent_lm, "log_softmax", lambda w, b, rows: sizes.append(len(rows)) or plain(w, b, rows))
+    weights, seen = np.zeros((1 << maxent_lm.ROW_BITS, maxent_lm.CLASSES), np.float32), np.ones(1 << maxent_lm.ROW_BITS, np.float32)
+    maxent_lm.steps(v, weights, np.zeros(maxent_lm.CLASSES, np.float32), seen, np.zeros(len(seen)), np.arange(9001) % 900)
+    assert sizes == [4096, 4096, 808]

@@ -219,3 +219,17 @@ def test_contexts_back_off_to_the_classes_of_two_words(monkeypatch):
     weights, seen = np.zeros((1 << maxent_lm.ROW_BITS, maxent_lm.CLASSES), np.float32), np.ones(1 << maxent_lm.ROW_BITS, np.float32)
     maxent_lm.steps(v, weights, np.zeros(maxent_lm.CLASSES, np.float32), seen, np.zeros(len(seen)), np.arange(9001) % 900)
     assert sizes == [4096, 4096, 808]
+
+
+def test_letters_of_all_whole_texts_are_counted(spark, monkeypatch):
+    """Far into a text and outside the sample that the centers are fitted on, too."""
+    monkeypatch.setattr(maxent_lm, "SAMPLE_DOCUMENTS", 2)
+    rng = random.Random(6)
+    rows = [(i, text_in(rng, rng.choice(list(WORDS))) + f" q{i:02d}z") for i in range(60)] + [(60, "the " * 6000 + "zqxzqv éé a"), (61, "")]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    v = maxent_lm.fit(train).vocabulary
+    want = Counter(key for _, t in rows for w in t.encode().lower().split() for key in (b"<" + w[:3], b">" + w[-3:]))
+    assert all(v.clusters.get(key) is not None for key in want) and v.clusters.get(b"<zzz") is None
+    centers = np.eye(maxent_lm.CLUSTERS, 3)
+    got = {bytes(r["key"]): sum(r[f"n{k}"] for k in range(maxent_lm.CLUSTERS)) for r in maxent_lm.count_letters(train, pa.array(["the", "der", "le"]), centers).collect()}
+    assert got == want

@@ -4,7 +4,8 @@ A model sees a word as its lower-cased letters between a begin and an end mark,
 letters inside the word, so a word's score is the same wherever it stands and is worked out once. All models share one
 array of n-gram hashes in ascending order, with a probability share and a back-off weight per language in matrices
 beside it. The language with the lowest cross-entropy per letter wins; texts whose cross-entropy is far beyond what
-the language's own calibration texts show are marked as rejected.
+the language's own texts show are marked as rejected. Each sampled text is measured by a model of the texts that aren't
+in its fold; languages with few texts get the limit that the texts of all languages show together.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import use_worker, written
 
 ORDER = 5
-#: Labelled documents per language that a model is fitted on, about; a tenth of them calibrates.
+#: Labelled documents per language that a model is fitted on, about; all of them calibrate it, too.
 SAMPLE_DOCUMENTS = 1500
 #: Languages a model may have.
 MAX_LANGUAGES = 200
+#: Parts of the sample that are measured by a model of the others, and texts from which a language has its own limit.
+FOLDS, OWN_TEXTS = 3, 20
 #: Letters of evidence from which the posterior doesn't sharpen any more.
 EVIDENCE = 100
 #: Words whose scores a worker keeps.
@@ -171,25 +175,58 @@ def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Lang
     spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, 1.1 * sample_documents / n)) + 1))])
     sample = written(rows.where(spot < share[F.col("lang")]), "language-sample")
-    role = F.pmod(F.xxhash64(F.lit("role"), F.col("doc_id")), F.lit(11)) == 0
-    grams = sample.where(~role).select("lang", "text").mapInArrow(_counting, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = grams.toArrow()
+    fold = F.pmod(F.xxhash64(F.lit("role"), F.col("doc_id"), F.col("text")), F.lit(FOLDS))
+    parts = []
+    for k in range(FOLDS):
+        grams = sample.where(fold == k).select("lang", "text").mapInArrow(_counting, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        parts.append(grams.toArrow())
+    seen = []
+    for k in range(FOLDS):
+        part = _fit_tables([p for x, p in enumerate(parts) if x != k])
+        found = identify(sample.where(fold == k), part, keep="lang").where("lang = lang_pred and cross_entropy is not null").select("lang", "cross_entropy").toPandas()
+        seen += zip(found["lang"], found["cross_entropy"], strict=True)
+        del part
+    model = _fit_tables(parts)
+    _set_limits(model, seen, _marks(parts))
+    return model
+
+
+def _fit_tables(tables: list[pa.Table]) -> LanguageModel:
+    whole = pa.concat_tables(tables).group_by(["lang", "gram"]).aggregate([("n", "sum")])
     counts: dict[str, Counter] = defaultdict(Counter)
-    for language, gram, n in zip(*(table.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
+    for language, gram, n in zip(*(whole.column(c).to_pylist() for c in ("lang", "gram", "n_sum")), strict=True):
         counts[language][gram] = n
-    model = fit_counts(counts)
-    if not counts:
-        return model
-    seen = identify(sample.where(role | F.lit(len(sizes) == 0)), model, keep="lang").where("lang = lang_pred").select("lang", "cross_entropy").toPandas()
+    return fit_counts(counts)
+
+
+def _marks(tables: list[pa.Table]) -> dict[str, int]:
+    """Different letters and marks in each language's texts, and one for those that never were in them."""
+    found = defaultdict(set)
+    for table in tables:
+        last = pc.utf8_slice_codeunits(table.column("gram"), -1)
+        for r in pa.table({"lang": table.column("lang"), "last": last}).group_by(["lang", "last"]).aggregate([]).to_pylist():
+            found[r["lang"]].add(r["last"])
+    return {language: len(last) + 1 for language, last in found.items()}
+
+
+def _set_limits(model: LanguageModel, seen: list[tuple[str, float]], marks: dict[str, int]) -> None:
+    """Limits from cross-entropies of texts that the measuring model hadn't read; languages with few share one of all.
+
+    A share of the way from a language's texts to random marks of its own: what lies beyond is rejected. Without any
+    text to measure, a text has to be nearer to the language than half-way from certain marks to random ones.
+    """
+    own: dict[str, list[float]] = defaultdict(list)
+    for language, entropy in seen:
+        own[language].append(entropy)
+    random = {language: float(np.log(marks[language])) for language in model.languages}
+    shares = [e / random[language] for language, found in own.items() for e in found]
     for x, language in enumerate(model.languages):
-        own = seen.loc[seen["lang"] == language, "cross_entropy"].to_numpy()
-        if len(own) >= 20:
-            middle = np.median(own)
-            spread = max(0.05 * middle, float(np.quantile(own, 0.99) - middle))
-            # a text in two languages stays; what is nearer to random marks than to the language goes
-            model.limit[x] = max(middle + 4 * spread, middle + 0.6 * (np.log(model.marks) - middle))
-            model.width[x] = spread
-    return model
+        found = np.array(own[language]) if len(own[language]) >= OWN_TEXTS else np.array(shares or [0.5]) * random[language]
+        middle = float(np.median(found))
+        spread = max(0.05 * middle, float(np.quantile(found, 0.99) - middle))
+        # a text in two languages stays; what is nearer to random marks than to the language goes
+        model.limit[x] = max(middle + 4 * spread, middle + 0.6 * (random[language] - middle))
+        model.width[x] = spread
 
 
 class _Scored:

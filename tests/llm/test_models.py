@@ -233,3 +233,16 @@ def test_letters_of_all_whole_texts_are_counted(spark, monkeypatch):
     centers = np.eye(maxent_lm.CLUSTERS, 3)
     got = {bytes(r["key"]): sum(r[f"n{k}"] for k in range(maxent_lm.CLUSTERS)) for r in maxent_lm.count_letters(train, pa.array(["the", "der", "le"]), centers).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("n", [24, 90, 400])
+def test_gibberish_of_letters_is_rejected_at_any_size(spark, n):
+    """Languages with few texts have a limit, too; their own texts stay."""
+    rng = random.Random(12)
+    rows = [(i, text_in(rng, lang := list(WORDS)[i % 8 % 3]), lang) for i in range(n)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(WORDS) and np.all(np.isfinite(model.limit))
+    wild = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(60)) for _ in range(20)]
+    new = [(i, t) for i, t in enumerate(wild + [text_in(rng, x) for x in WORDS for _ in range(10)])]
+    rows = language_id.identify(spark.createDataFrame(new, "doc_id long, text string"), model).collect()
+    assert all(r["rejected"] == (r["doc_id"] < 20) for r in rows)

@@ -33,11 +33,13 @@ def read_variants(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def count_meta_lines(spark: SparkSession, path: str) -> int:
     """How many ``##`` lines a table starts with; only its head is read."""
-    head = _lines(spark, path).take(10_000)
-    n = 0
-    while n < len(head) and head[n][0].startswith("##"):
-        n += 1
-    return n
+    room = 10_000
+    while True:
+        head = _lines(spark, path).take(room)
+        n = next((k for k, r in enumerate(head) if not r[0].startswith("##")), len(head))
+        if n < room:
+            return n
+        room *= 4  # the header goes on
 
 
 def info_value(info: Column | str, key: str) -> Column:

@@ -244,3 +244,8 @@ def test_commands(tmp_path, capsys):
     assert cli.main(["validate-profile", str(tmp_path / "p.json")]) == 0 and "OK" in capsys.readouterr().out
     (tmp_path / "p.json").write_text("{}")
     assert cli.main(["validate-profile", str(tmp_path / "p.json")]) == 1
+
+
+def test_long_headers_are_counted_to_their_end(spark, tmp_path):
+    (tmp_path / "long.vcf").write_text("##contig=<ID=c>\n" * 10_500 + "#CHROM\tPOS\n##late\n")
+    assert vcf.count_meta_lines(spark, str(tmp_path / "long.vcf")) == 10_500

@@ -1,9 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
 A model sees a word as its lower-cased letters between a begin and an end mark, with histories of up to four marks or
-letters inside the word, so a word's score is the same wherever it stands and is worked out once. All models share one
-array of n-gram hashes in ascending order, with a probability share and a back-off weight per language in matrices
-beside it. The language with the lowest cross-entropy per letter wins; texts whose cross-entropy is far beyond what
+letters inside the word, so a word's score is the same wherever it stands and is worked out once. Each language has an
+array of n-gram hashes in ascending order, with arrays of probability shares and back-off weights beside it. The
+language with the lowest cross-entropy per letter wins; texts whose cross-entropy is far beyond what
 the language's own texts show are marked as rejected. Each sampled text is measured by a model of the texts that aren't
 in its fold; languages with few texts get the limit that the texts of all languages show together.
 """
@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import use_worker, written
+from .common import discard, release, use_worker, written
 
 ORDER = 5
 #: Labelled documents per language that a model is fitted on, about; all of them calibrate it, too.
 SAMPLE_DOCUMENTS = 1500
-#: Languages a model may have.
+#: Languages a model may have: those with the most labelled documents.
 MAX_LANGUAGES = 200
 #: Parts of the sample that are measured by a model of the others, and texts from which a language has its own limit.
 FOLDS, OWN_TEXTS = 3, 20
@@ -33,8 +33,10 @@ FOLDS, OWN_TEXTS = 3, 20
 EVIDENCE = 100
 #: Words whose scores a worker keeps.
 WORDS = 250_000
-#: Words that are scored at a time.
-SCORED = 8192
+#: Letters and marks that are scored at a time.
+SCORED = 1 << 16
+#: Letters of a word from which its score isn't kept.
+LONG = 200
 BEGIN, END = "\x02", "\x03"
 UNKNOWN = "und"
 
@@ -57,12 +59,19 @@ def words_of(token: str) -> list[str]:
     return (token if token.isalpha() else "".join([c if c.isalpha() else " " for c in token])).lower().split()
 
 
+@dataclass
+class Grams:
+    """One language's n-grams: hashes in ascending order, and what each has."""
+
+    keys: np.ndarray
+    share: np.ndarray  # (count - discount) / count of the history
+    back: np.ndarray  # weight of the shorter history, 1 where this one is unseen
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    keys: np.ndarray  # ascending hashes
-    share: np.ndarray  # [key, language]: (count - discount) / count of the history
-    back: np.ndarray  # [key, language]: weight of the shorter history, 1 where this one is unseen
+    grams: list[Grams]
     empty: np.ndarray  # [language]: weight of the uniform distribution
     marks: int
     limit: np.ndarray  # [language]: cross-entropy beyond which a text is rejected
@@ -70,26 +79,48 @@ class LanguageModel:
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """[word, language]: natural log of the probability of the word's letters and end mark."""
-        return np.concatenate([np.zeros((0, len(self.languages))), *(self._score(words[i : i + SCORED]) for i in range(0, len(words), SCORED))])
+        out = np.zeros((len(words), len(self.languages)))
+        at = 0
+        while at < len(words):
+            first, size = at, 0
+            while at < len(words) and (first == at or size + len(words[at]) + 2 <= SCORED):
+                size += len(words[at]) + 2
+                at += 1
+            out[first:at] = self._score(words[first:at])
+        return out
 
     def _score(self, words: list[str]) -> np.ndarray:
+        """Of words that fit a slice, or of one word of any length, whose slices overlap by a history."""
         joined = "".join([f"{BEGIN}{w}{END}" for w in words])
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.array([len(w) + 2 for w in words])
-        ends = np.cumsum(sizes)
-        place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
-        p = np.full((len(codes), len(self.languages)), 1 / self.marks)
-        before = self.empty
-        for k, h in enumerate(_hashes(codes)):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = (self.keys[at] == h) & (place >= k)
-            share = np.where(hit[:, None], self.share[at], 0)
-            live = (place >= max(k, 1))[:, None]
-            p = np.where(live, share + before * p, p)
-            now = np.where(hit[:, None], self.back[at], 1)
-            before = np.vstack([np.ones((1, now.shape[1])), now[:-1]])
-        p[place == 0] = 1
-        return np.add.reduceat(np.log(p), ends - sizes, axis=0)
+        starts = np.cumsum(sizes) - sizes
+        if len(codes) <= SCORED + ORDER:
+            place = np.arange(len(codes)) - np.repeat(starts, sizes)
+            return np.add.reduceat(self._logs(codes, place), starts, axis=0)
+        sums = np.zeros((1, len(self.languages)))
+        for at in range(0, len(codes), SCORED):
+            first = max(0, at - ORDER)
+            own = codes[first : at + SCORED]
+            sums[0] += self._logs(own, np.arange(first, first + len(own)))[at - first :].sum(axis=0)
+        return sums
+
+    def _logs(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """[mark, language]: log-probability of each mark given those before it in its word; 0 for the first."""
+        found = [np.unique(h, return_inverse=True) for h in _hashes(codes.astype(np.uint64))]  # a language looks each up once
+        whole = [place >= max(k, 1) for k in range(ORDER)]
+        out = np.empty((len(codes), len(self.languages)))
+        for x, grams in enumerate(self.grams):
+            p, before = np.full(len(codes), 1 / self.marks), np.full(len(codes), self.empty[x])
+            for k, (kinds, back) in enumerate(found):
+                at = np.minimum(np.searchsorted(grams.keys, kinds), len(grams.keys) - 1)
+                hit = grams.keys[at] == kinds
+                p = np.where(whole[k], np.where(hit, grams.share[at], 0)[back] + before * p, p)
+                before = np.ones(len(codes))
+                before[1:] = np.where(place >= k, np.where(hit, grams.back[at], 1)[back], 1)[:-1]
+            p[place == 0] = 1
+            out[:, x] = np.log(p)
+        return out
 
 
 def fit_counts(counts: dict[str, Counter]) -> LanguageModel:
@@ -97,14 +128,15 @@ def fit_counts(counts: dict[str, Counter]) -> LanguageModel:
     languages = sorted(counts)
     marks = len({s[-1] for c in counts.values() for s in c}) + 1
     empty = np.ones(len(languages))
-    rows: dict[str, list[float]] = {}
-    blank = [0.0] * len(languages) + [1.0] * len(languages)
+    tables = []
     for x, language in enumerate(languages):
         levels: list[Counter] = [Counter() for _ in range(ORDER + 1)]
         for s, n in counts[language].items():
             levels[len(s)][s] += n
         for k in range(ORDER, 1, -1):  # shorter n-grams count the distinct marks before them
             levels[k - 1].update(Counter(s[1:] for s in levels[k]))
+        shares: dict[str, float] = {}
+        backs: dict[str, float] = {}
         for k in range(1, ORDER + 1):
             level = levels[k]
             if not level:
@@ -116,14 +148,19 @@ def fit_counts(counts: dict[str, Counter]) -> LanguageModel:
                 total[s[:-1]] += n
                 kinds[s[:-1]] += 1
             for s, n in level.items():
-                rows.setdefault(s, blank.copy())[x] = max(0.0, n - discount) / total[s[:-1]]
+                shares[s] = max(0.0, n - discount) / total[s[:-1]]
             for h, n in total.items():
                 weight = discount * kinds[h] / n
                 if h:
-                    rows.setdefault(h, blank.copy())[len(languages) + x] = weight
+                    backs[h] = weight
                 else:
                     empty[x] = weight
-    grams = list(rows)
+        tables.append(_table(shares, backs))
+    return LanguageModel(languages, tables, empty, marks, np.full(len(languages), np.inf), np.ones(len(languages)))
+
+
+def _table(shares: dict[str, float], backs: dict[str, float]) -> Grams:
+    grams = list(shares.keys() | backs.keys())
     sizes = np.array([len(s) for s in grams])
     hashes = np.zeros(len(grams), np.uint64)
     for k in range(1, ORDER + 1):
@@ -132,9 +169,8 @@ def fit_counts(counts: dict[str, Counter]) -> LanguageModel:
             codes = np.frombuffer("".join([grams[i] for i in at]).encode("utf-32-le"), np.uint32).astype(np.uint64)
             hashes[at] = _hashes(codes)[k - 1][k - 1 :: k]
     order = np.argsort(hashes)
-    n = len(languages)
-    table = np.array([rows[s] for s in grams], np.float32).reshape(len(grams), 2 * n)[order]
-    return LanguageModel(languages, hashes[order], table[:, :n].copy(), table[:, n:].copy(), empty, marks, np.full(n, np.inf), np.ones(n))
+    share, back = (np.array([found.get(s, none) for s in grams], np.float32)[order] for found, none in ((shares, 0.0), (backs, 1.0)))
+    return Grams(hashes[order], share, back)
 
 
 _scores: list[_Scored] = []
@@ -163,16 +199,15 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> LanguageModel:
     """A model from ``doc_id, text, lang`` rows; those with a null lang or text are left out.
 
-    About ``sample_documents`` rows of each language are read, chosen by hash of doc_id; n-grams are counted on the
-    executors, and what the driver gathers is bounded by the sample. Without labelled text the model has no language.
+    About ``sample_documents`` rows of each language are read, chosen by hash of doc_id and text; n-grams are counted on
+    the executors. Of more than MAX_LANGUAGES values of lang those with the most rows are learned (the first by name of
+    equals). Without labelled text the model has no language; repeated rows count again; other columns are not read.
     """
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; {MAX_LANGUAGES} can be learned")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return fit_counts({})
-    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000))
+    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1_000_000))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, 1.1 * sample_documents / n)) + 1))])
     sample = written(rows.where(spot < share[F.col("lang")]), "language-sample")
     fold = F.pmod(F.xxhash64(F.lit("role"), F.col("doc_id"), F.col("text")), F.lit(FOLDS))
@@ -188,6 +223,9 @@ def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Lang
         del part
     model = _fit_tables(parts)
     _set_limits(model, seen, _marks(parts))
+    del parts
+    release()
+    discard(sample)
     return model
 
 
@@ -237,27 +275,53 @@ class _Scored:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages) + 1), np.float32)
 
+    def measure(self, tokens: list[str]) -> np.ndarray:
+        """[token, language and letters]"""
+        parts = [words_of(t) for t in tokens]
+        words = [w for p in parts for w in p]
+        out = np.zeros((len(tokens), len(self.model.languages) + 1))
+        if words:
+            owner = np.repeat(np.arange(len(tokens)), [len(p) for p in parts])
+            np.add.at(out, owner, np.column_stack([self.model.score_words(words), [len(w) + 1 for w in words]]))
+        return out
+
     def learn(self, tokens: set[str]) -> None:
-        tokens -= self.rows.keys()
-        if not tokens or not self.model.languages:
+        if len(self.rows) > WORDS:  # the older half has the frequent words
+            self.rows = {w: i for w, i in self.rows.items() if i < WORDS // 2}
+        names = list(tokens - self.rows.keys())
+        if not names:
             return
-        names = list(tokens)
-        parts = [words_of(t) for t in names]
-        words = [w for p in parts for w in p]
-        owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-        scores = self.model.score_words(words)
-        new = np.zeros((len(names), scores.shape[1] + 1), np.float32)
-        np.add.at(new, owner, np.column_stack([scores, [len(w) + 1 for w in words]]) if words else np.zeros((0, new.shape[1])))
+        new = self.measure(names)
         first = len(self.rows)
         if first + len(names) > len(self.table):
             self.table = np.vstack([self.table, np.zeros((max(len(self.table), len(names)), self.table.shape[1]), np.float32)])
         self.table[first : first + len(names)] = new
         self.rows |= dict(zip(names, range(first, first + len(names)), strict=True))
 
-    def forget(self) -> None:
-        """Keeps the older half, where the frequent words are."""
-        keep = WORDS // 2
-        self.rows = {w: i for w, i in self.rows.items() if i < keep}
+    def sums(self, column: pa.Array) -> np.ndarray:
+        """[text, language and letters]; a null text is an empty one. Texts are read a few at a time."""
+        n = len(self.model.languages)
+        out = np.zeros((len(column), n + 1))
+        at = 0
+        while n and at < len(column):
+            tokens, first, size = [], at, 0
+            while at < len(column) and (first == at or size < 1 << 21):
+                text = column[at].as_py() or ""
+                tokens.append(text.split())
+                size += len(text)
+                at += 1
+            every = set().union(*tokens)
+            long = [t for t in every if len(t) > LONG]
+            self.learn(every.difference(long))
+            apart = dict(zip(long, self.measure(long), strict=True)) if long else {}
+            get, table = self.rows.__getitem__, self.table
+            for k, own in enumerate(tokens, first):
+                if apart:
+                    out[k] = sum((apart[t] for t in own if t in apart), np.zeros(n + 1))
+                    own = [t for t in own if t not in apart]
+                if own:
+                    out[k] += table[np.fromiter(map(get, own), np.int64, len(own))].sum(axis=0, dtype=np.float64)
+        return out
 
 
 def _scores_for(model: LanguageModel) -> _Scored:
@@ -268,67 +332,78 @@ def _scores_for(model: LanguageModel) -> _Scored:
     return _scores[0]
 
 
+def _judged(scored: _Scored, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the nearest language (-1: no letter), the score, the cross-entropy, and whether it is rejected."""
+    model, n = scored.model, len(scored.model.languages)
+    sums = scored.sums(column)
+    letters = sums[:, n]
+    none = letters == 0
+    if not n:
+        return np.full(len(sums), -1), np.zeros(len(sums)), np.zeros(len(sums)), none
+    entropy = -sums[:, :n] / np.maximum(letters, 1)[:, None]
+    best = entropy.argmin(axis=1)
+    low = entropy[np.arange(len(best)), best]
+    weight = np.exp(-(entropy - low[:, None]) * np.minimum(letters, EVIDENCE)[:, None])
+    limit, width = model.limit[best], model.width[best]
+    score = 1 / weight.sum(axis=1) / (1 + np.exp(np.clip((low - limit) / (0.25 * width), -50, 50)))
+    return np.where(none, -1, best), np.where(none, 0.0, np.clip(score, 0, 1)), low, none | (low > limit)
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: str | None = None) -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, rejected`` of each whole text (and the column ``keep``, as it is).
 
     ``und``, score 0, no cross-entropy and rejected: texts that are null, empty or without a letter, and all if the
     model has no language. score is the
     posterior of the chosen language from at most EVIDENCE letters, lowered where the text is unlike the calibration
-    texts; ties go to the first language by name. Rows are independent; no shuffle.
+    texts; ties go to the first language by name. Rows are independent: repeated rows are judged again, a null doc_id
+    stays null, an empty table gives an empty result, other columns are not read; no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
     extra = [F.col(keep).alias("_keep")] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        scored = _scores_for(own)
-        n = len(own.languages)
+        scored = _scores_for(held.value)
+        names = [*held.value.languages, UNKNOWN]
         for batch in batches:
-            sums = np.zeros((batch.num_rows, n + 1))
-            at, column = 0, batch.column(1)
-            while at < batch.num_rows:
-                tokens, first, size = [], at, 0
-                while at < batch.num_rows and (first == at or size < 1 << 22):
-                    text = column[at].as_py()
-                    tokens.append(text.split())
-                    size += len(text)
-                    at += 1
-                if len(scored.rows) > WORDS:
-                    scored.forget()
-                scored.learn(set().union(*tokens))
-                get, table = scored.rows.__getitem__, scored.table
-                for k, t in enumerate(tokens):
-                    if t and n:
-                        sums[first + k] = table[np.fromiter(map(get, t), np.int64, len(t))].sum(axis=0, dtype=np.float64)
-            letters = sums[:, n] * (n > 0)
-            entropy = -sums[:, :n] / np.maximum(letters, 1)[:, None]
-            entropy = entropy if n else np.zeros((len(entropy), 1))
-            best = entropy.argmin(axis=1)
-            low = entropy[np.arange(len(best)), best]
-            weight = np.exp(-(entropy - low[:, None]) * np.minimum(letters, EVIDENCE)[:, None])
-            score = 1 / weight.sum(axis=1)
-            limit, width = (own.limit[best], own.width[best]) if n else (np.inf, 1.0)
-            score /= 1 + np.exp(np.clip((low - limit) / (0.25 * width), -50, 50))
-            none = letters == 0
-            names = [None if e else own.languages[b] for e, b in zip(none, best, strict=True)]
+            best, score, low, rejected = _judged(scored, batch.column(1))
             columns = {
-                "doc_id": batch.column(0), "lang_pred": pa.array([UNKNOWN if x is None else x for x in names]), "score": pa.array(np.where(none, 0.0, np.clip(score, 0, 1))),
-                "cross_entropy": pa.array(low, mask=none), "rejected": pa.array(none | (low > limit)),
+                "doc_id": batch.column(0), "lang_pred": pa.array([names[b] for b in best], pa.string()), "score": pa.array(score),
+                "cross_entropy": pa.array(low, mask=best < 0), "rejected": pa.array(rejected),
             }
             if keep:
                 columns[keep] = batch.column(2)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean" + (f", {keep} string" if keep else ""))
 
 
+def keep_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs``, with all columns as they are, whose text ``identify`` doesn't reject.
+
+    Each row is judged by its own text: rows that share a doc_id or have none, too. Repeated rows all stay or all go; an
+    empty table stays empty. No join, no shuffle.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _scores_for(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(~_judged(scored, batch.column(place))[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(mod: int, remainder: int):
     """Whether a document's checksum puts it aside."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == remainder
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, cross_entropy, rejected``, learned from the documents that aren't held out."""
+    """``doc_id, held_out, lang_pred, score, cross_entropy, rejected``, learned from the documents that aren't held out.
+
+    As ``identify`` and ``train`` have it; a null doc_id is not held out by any remainder, and held_out is null there.
+    """
     model = train(docs.where(~held_out(3, 1)))
     return identify(docs, model).withColumn("held_out", held_out(3, 1))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, use_worker
+from .common import release, texts, use_worker
 from .language_id import held_out
 
 BUCKETS = 1 << 16
@@ -172,7 +172,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
 def train(docs: DataFrame, labels: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> FactorisationMachine:
     """From ``doc_id, quality`` labels that aren't null, of about ``sample_documents`` documents chosen by hash of doc_id.
 
-    Of several labels of a document the largest counts. What the driver gathers is bounded by the sample.
+    Of several labels of a document the largest counts; of several rows with its doc_id one text, the first by hash. So
+    what the driver gathers is bounded by the sample. Labels and rows without a doc_id are left out of the fit; a null
+    text is an empty one.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     total = known.count()
@@ -183,43 +185,73 @@ def train(docs: DataFrame, labels: DataFrame, sample_documents: int = SAMPLE_DOC
         _own_worker()
         for batch in batches:
             made = list(_features([x.as_py() for x in batch.column(1)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k].tolist() for r in made], pa.list_(pa.float64())) for k in range(3))], ["doc_id", "quality", "buckets", "values", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k].tobytes() for r in made], pa.binary()) for k in range(3))], ["doc_id", "quality", "buckets", "values", "stats"])
+
+    rows = texts(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # bounded by sample_documents
+    found = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, buckets binary, values binary, stats binary").toArrow().sort_by("doc_id")
+    kinds = (("buckets", np.int64), ("values", np.float64), ("stats", np.float64))
+    made = list(zip(*([np.frombuffer(x.as_py(), kind) for x in found.column(c)] for c, kind in kinds), strict=True))
+    machine = fit(made, found.column("quality").to_numpy().astype(np.float64))
+    del found, made
+    release()
+    return machine
+
 
-    rows = texts(docs).join(F.broadcast(known), "doc_id")  # bounded by sample_documents
-    found = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, buckets array<double>, values array<double>, stats array<double>").toPandas()
-    found = found.sort_values("doc_id", ignore_index=True)
-    return fit([(np.array(b, np.int64), np.array(v), np.array(s)) for b, v, s in zip(found["buckets"], found["values"], found["stats"], strict=True)], found["quality"].to_numpy(np.float64))
+def _scores(machine: FactorisationMachine, column: pa.Array) -> np.ndarray:
+    """Of each text; a null text is an empty one. Texts are read a few at a time."""
+    scores, at = np.zeros(len(column)), 0
+    while at < len(column):
+        chunk, size, first = [], 0, at
+        while at < len(column) and (not chunk or size < 1 << 21):
+            chunk.append(column[at].as_py() or "")
+            size += len(chunk[-1])
+            at += 1
+        made = [machine.row(*r) for r in _features(chunk)]
+        sizes = np.array([len(r[0]) for r in made])
+        margins, _ = machine.margins(np.concatenate([r[0] for r in made]), np.concatenate([r[1] for r in made]), np.cumsum(sizes) - sizes)
+        scores[first:at] = 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
+    return scores
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` of each whole text.
 
     A null text is an empty one; empty texts have no words and all statistics at 0, and get the machine's score for
-    that. Rows are independent: repeated rows are scored again, extra columns are not read. No shuffle.
+    that. Rows are independent: repeated rows are scored again, a null doc_id stays null, extra columns are not read; an
+    empty table gives an empty result. No shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _own_worker()
-        own = held.value
         for batch in batches:
-            scores, at = np.zeros(batch.num_rows), 0
-            while at < batch.num_rows:
-                chunk, size, first = [], 0, at
-                while at < batch.num_rows and (not chunk or size < 1 << 22):
-                    chunk.append(batch.column(1)[at].as_py())
-                    size += len(chunk[-1])
-                    at += 1
-                made = [own.row(*r) for r in _features(chunk)]
-                sizes = np.array([len(r[0]) for r in made])
-                margins, _ = own.margins(np.concatenate([r[0] for r in made]), np.concatenate([r[1] for r in made]), np.cumsum(sizes) - sizes)
-                scores[first:at] = 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
+            scores = _scores(held.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns as they are, whose text scores ``threshold`` or more.
+
+    Each row is judged by its own text: rows that share a doc_id or have none, too. An empty table stays empty. No join,
+    no shuffle.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_worker()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(held.value, batch.column(place)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted``, learned from the labels of documents that aren't held out."""
+    """``doc_id, held_out, score, predicted``, learned from the labels of documents that aren't held out.
+
+    As ``score_quality`` and ``train`` have it. Without labels of both kinds every text gets the machine's bias.
+    """
     machine = train(docs, labels.where(~held_out(5, 0)))
     return score_quality(docs, machine).withColumn("held_out", held_out(5, 0))

@@ -1,7 +1,7 @@
 """Sum-of-squares packing of tokenized documents into sequences.
 
 Documents longer than a sequence are cut into full pieces and a rest; full pieces are sequences of their own. What is
-left is dealt by hash of doc_id to blocks of bounded size, and each block is packed by itself: a piece goes where the
+left is dealt evenly to blocks of bounded size, and each block is packed by itself: a piece goes where the
 sum over gaps of the squared number of open sequences with that gap becomes smallest. The state is one count per gap,
 and a block costs a few sequences over a single run of all, a share that falls with the block's size.
 """
@@ -20,27 +20,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, texts, use_worker
+from .common import CACHE_BYTES, entry_bytes, row_number, texts, use_worker, written
 from .merges import model_path
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-#: Documents in a block, on average.
-BLOCK_DOCUMENTS = 65_536
+#: Pieces in a block, on average.
+BLOCK_PIECES = 65_536
 #: Characters that a worker tokenizes at a time, at least one text.
-CHUNK_CHARS = 4 << 20
-#: Words without marks whose ids a worker keeps.
-CORES = 600_000
+CHUNK_CHARS = 2 << 20
+#: Marks for words that were met once.
+MET = 1 << 22
 #: Words that the tokenizer gets at a time.
 ENCODED = 4096
 
 #: Letters that lower-case one by one, then punctuation without apostrophes: the tokenizer splits there.
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts that show whether a tokenizer takes each word by itself and splits letters from marks.
+_PROBES = (
+    "The quick  Brown fox\njumps", " \tÉcole Straße señor", "x" * 300 + " Zz", "it's o'clock 'quoted' don't", "a1b2 3.14 1,000 x_y", "\u4f60\u597d \u0644\u0627 caf\u0065\u0301",
+    *(f"Ab{m} cd{m}{m} {m}ef A{m}b" for m in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), *(f"Wort{c}x {c}" for c in map(chr, range(0xC0, 0x100))),
+)
 
 
 class WordTokens:
-    """Ids of a text as little-endian bytes, from the ids of its words; the tokenizer drops white space, so words are independent."""
+    """Ids of a text as little-endian bytes, from the ids of its words if the tokenizer takes each word by itself."""
 
     def __init__(self, model: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,13 +54,37 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(model_path(model))
         self.known = _Known({"": b""})
         self.cores: dict[str, bytes] = {"": b""}
+        self.room = {"known": CACHE_BYTES // 2, "cores": CACHE_BYTES * 3 // 2}
+        self.met, self.marked = bytearray(MET), 0
+        # another tokenizer may drop no white space or split elsewhere; it gets whole texts
+        self.by_word = self._from_words(list(_PROBES)) == self._encode(list(_PROBES))
 
     def _encode(self, words: list[str]) -> list[bytes]:
         parts = (words[i : i + ENCODED] for i in range(0, len(words), ENCODED))
         return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
+    def _keep(self, name: str, found: dict[str, bytes]) -> None:
+        """Puts into a cache while there is room in it."""
+        if self.room[name] > 0:
+            self.room[name] -= sum(map(entry_bytes, found, found.values()))
+            getattr(self, name).update(found)
+
+    def _met(self, words: dict[str, bytes]) -> dict[str, bytes]:
+        """Those that were met before, about; the many that come once would only fill a cache."""
+        met, out = self.met, {}
+        for w, ids in words.items():
+            spot = hash(w) & MET - 1
+            if met[spot]:
+                out[w] = ids
+            else:
+                met[spot] = 1
+        self.marked += len(words) - len(out)
+        if self.marked > MET // 4:
+            self.met, self.marked = bytearray(MET), 0
+        return out
+
     def learn(self, words: set[str]) -> None:
-        """Ids of words that aren't known yet; kept for good while there is room, else until the next call."""
+        """Ids of words that aren't known yet, until the next call at least."""
         cut, rest, cores, known = [], [], set(), self.cores
         match = _LETTERS_THEN_MARKS.fullmatch
         for w in words:
@@ -72,24 +101,23 @@ class WordTokens:
         own = list(cores)
         ids = self._encode(own + rest)
         found = dict(zip(own, ids, strict=False))
-        if len(known) < CORES:
-            known |= found
-            new = {w: known[a] + known[b] for w, a, b in cut}
-        else:
-            new = {w: (found[a] if a in found else known[a]) + (found[b] if b in found else known[b]) for w, a, b in cut}
+        new = {w: (found[a] if a in found else known[a]) + (found[b] if b in found else known[b]) for w, a, b in cut}
         new.update(zip(rest, ids[len(own) :], strict=True))
-        if len(self.known) < CACHE_ENTRIES:
-            self.known.update(new)
-            new = {}
+        self._keep("cores", found)
+        if self.room["known"] > 0:
+            self._keep("known", self._met(new))
         self.known.extra = new
 
-    def __call__(self, batch: list[str]) -> list[bytes]:
+    def _from_words(self, batch: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in batch]
         if new := set().union(*words) - self.known.keys():
             self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
+    def __call__(self, batch: list[str]) -> list[bytes]:
+        return self._from_words(batch) if self.by_word else self._encode(batch)
+
 
 class _Known(dict):
     """Falls back on a second dict."""
@@ -110,7 +138,8 @@ def _tokens(model: str) -> WordTokens:
 def document_pieces(docs: DataFrame, model: str = MODEL, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and the end id, cut after every ``capacity``.
 
-    A null or empty text is the end id alone. No shuffle.
+    A null or empty text is the end id alone. Repeated rows give repeated pieces, a null doc_id stays null, an empty
+    table has no pieces; columns other than doc_id and text are not read. No shuffle.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -186,24 +215,25 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins[back], offsets[back]
 
 
-def pack(docs: DataFrame, model: str = MODEL, capacity: int = CAPACITY, end_id: int = END_ID, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
+def pack(docs: DataFrame, model: str = MODEL, capacity: int = CAPACITY, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece.
 
-    Null and empty texts are a piece of length 1. Repeated rows are packed each; ties are settled by doc_id, piece and
-    checksum, so the result doesn't depend on how the input is split. Rows
-    with a null doc_id are packed as any other. An empty table gives an empty result; columns other than doc_id and text are
-    not read. One shuffle, of a row per piece.
+    Null and empty texts are a piece of length 1. Repeated rows and rows with a null doc_id are packed as any other. An
+    empty table gives an empty result; columns other than doc_id and text are not read. Pieces are written to the shared
+    folder; full ones, the only ones whose id is negative, go no further, and the others are dealt to blocks by their place in that table,
+    evenly whatever their doc_id. Inside a block ties are settled by doc_id, piece and checksum. One shuffle, of a row
+    per piece that isn't full.
     """
-    blocks = max(1, round(docs.count() / block_documents))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    pieces = written(document_pieces(docs, model, capacity, end_id), "pack-pieces")
+    short = pieces.where(F.col("length") < capacity)
+    blocks = max(1, round(short.count() / block_pieces))
 
     def own(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        lengths = table.column("length").to_numpy()
-        part, whole = np.flatnonzero(lengths < capacity), np.flatnonzero(lengths == capacity)
-        bins, offsets = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        bins[part], offsets[part] = pack_lengths(lengths[part], capacity)
-        bins[whole] = np.arange(len(whole)) + (bins[part].max() + 1 if len(part) else 0)
+        bins, offsets = pack_lengths(table.column("length").to_numpy(), capacity)
         return table.drop_columns("block").append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    pieces = document_pieces(docs, model, capacity, end_id).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    return pieces.groupBy("block").applyInArrow(own, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    dealt = short.withColumn("block", F.pmod(F.xxhash64(row_number()), F.lit(blocks)))
+    full = pieces.where(F.col("length") == capacity).select("*", (F.lit(-1) - row_number()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return dealt.groupBy("block").applyInArrow(own, schema).unionByName(full)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, texts, use_worker
+from .common import CACHE_BYTES, WordCache, texts, use_worker
 from .merges import parts, vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -18,7 +18,7 @@ LIMIT = 4096
 
 @lru_cache(maxsize=2)
 def _counted_parts(model: str) -> WordCache:
-    return WordCache(vocabulary(model).merge_count, 1_000_000)
+    return WordCache(vocabulary(model).merge_count, 2 * CACHE_BYTES)
 
 
 def count_text(text: str, model: str = MODEL) -> int:

@@ -16,12 +16,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordCache, texts, use_worker
+from .common import CACHE_BYTES, WordCache, texts, use_worker
 from .merges import PieceVocabulary, parts, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 #: Pairs of neighbours whose compatibility a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 300_000
 
 
 class PieceEncoder:
@@ -156,7 +156,7 @@ def _encoded_parts(model: str) -> WordCache:
         spelled = own.spell(ids)
         return ",".join(map(str, ids)) + "," if ids else "", part if spelled == part else spelled
 
-    return WordCache(make)
+    return WordCache(make, 2 * CACHE_BYTES)
 
 
 def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:

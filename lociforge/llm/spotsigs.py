@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, texts, use_worker, written
+from .common import CACHE_BYTES, WordCache, texts, use_worker, written
 
 CHAIN = 2
 #: Words without an anchor after which a content word may stand in for one.
@@ -41,7 +41,7 @@ def _word(token: str) -> int:
     return (xxhash.xxh64_intdigest(word.encode()) >> 2 << 1 or 2) | (word in ANCHORS) if word else 0
 
 
-_WORDS = WordCache(_word, 600_000)
+_WORDS = WordCache(_word, 2 * CACHE_BYTES)
 
 
 def _own_worker() -> None:

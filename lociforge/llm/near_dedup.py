@@ -10,8 +10,8 @@ bucket's center, its smallest id (a star, not all pairs). What the star leaves a
 ``d(x)`` the symmetric difference of x and the center, two sets x, y of sizes n, m are linked if and only if
 ``|d(x)| + |d(y)| - 2 |d(x) & d(y)| <= c (n + m)`` with ``c = (1 - s) / (1 + s)``. A set that isn't linked with the center
 has a large difference, so a link with it needs a large common part of the differences, and prefixes of the two
-differences (in an order from rare to common, as a sample of the center's family shows) share an element. Only such pairs
-are compared; members of a family that vary independently share none but the common elements, which come last. A family
+differences (in an order from rare to common, as a sample of the center's family shows) share an element, or ``SHOWN`` of
+them if at least as many are needed. Only such pairs are compared; members of a family that vary independently share none but the common elements, which come last. A family
 finds all links between its members, so two sets with the same largest family meet there and in no other. Every link is
 confirmed on the full sets of both texts, as integers.
 """
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WordCache, texts, use_worker, written
+from .common import BROADCAST_IDS, WordCache, discard, free_name, row_number, texts, use_worker, written
 from .components import components
 
 WORDS = 5
@@ -36,11 +36,13 @@ TABLES = 12
 ROWS = 3
 #: Members of a family whose differences set the order of elements, about.
 SAMPLED = 48
+#: Common elements that prefixes show, where that many are needed.
+SHOWN = 2
 
 _RNG = np.random.Generator(np.random.Philox(key=11))
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FUNCTIONS = (_RNG.integers(1, 2**63, 2 * TABLES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-_HASH = WordCache(xxhash.xxh64_intdigest, 250_000)
+_HASH = WordCache(xxhash.xxh64_intdigest, 40 << 20)
 
 
 def _own_worker() -> None:
@@ -173,10 +175,11 @@ CLASSES = (0, 0.25, 0.5, 0.75, 1, 1.25, 1.5, 2, 3, math.inf)
 UNLINKED = 4
 
 
-def prefix_lengths(size: int, n: int, center: int, linked: bool, percent: int) -> tuple[int, list[tuple[int, int]]]:
-    """The class of a set's difference, and, per class that it could find a link in, how long its prefix must be.
+def prefix_lengths(size: int, n: int, center: int, linked: bool, percent: int, shown: int = SHOWN) -> tuple[int, list[tuple[int, int, int]]]:
+    """The class of a set's difference, and, per class that it could find a link in, how long its prefix must be and how many common elements are in it.
 
-    Of two linked sets nothing is asked. Another set has from 0.8 to 1 / 0.8 times this one's size n, and of a class that
+    Of ``least`` common elements of two differences the first ``k`` are among the first ``size - least + k`` of each. Of
+    two linked sets nothing is asked. Another set has from 0.8 to 1 / 0.8 times this one's size n, and of a class that
     starts at share f a difference of at least f c (its size + the center's).
     """
     c = (100 - percent) / (100 + percent)
@@ -189,13 +192,14 @@ def prefix_lengths(size: int, n: int, center: int, linked: bool, percent: int) -
         if (linked and k < UNLINKED) or size - g * c * (high + center) > c * (n + high) or f * c * (low + center) - size > c * (n + high):
             continue  # the sizes of the differences alone rule a link out
         least = (size + f * c * center - c * n + (f - 1) * c * (low if f > 1 else high)) / 2
-        if length := max(0, size - max(1, math.ceil(least - 1e-9)) + 1):
-            out.append((k, length))
+        least = max(1, math.ceil(least - 1e-9))
+        if least <= size:
+            out.append((k, size - least + min(shown, least), min(shown, least)))
     return own, out
 
 
 def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``a, b, n, part, main, apart, own, other, e``: a row per element of each prefix, from ``compare_stars`` rows with their components.
+    """``a, b, n, part, main, apart, own, other, shown, e``: a row per element of each prefix, from ``compare_stars`` rows with their components.
 
     The order of elements is by how many of a sample of the family's differences hold them, then by value. The sample
     (about ``SAMPLED`` members) only sets the order; every member has its prefixes.
@@ -220,16 +224,16 @@ def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
                     held = np.where(ce[k] == d, ch[k], 0)
                 order = np.lexsort((d, held))
                 own, found = prefix_lengths(len(d), n, center, linked, percent)
-                for other, length in found:
+                for other, length, shown in found:
                     at.append(i)
-                    classes.append((own, other))
+                    classes.append((own, other, shown))
                     out.append(d[order[:length]])
             kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), kept.column(3), kept.column(10), kept.column(6), *(pa.array([c[k] for c in classes], pa.int32()) for k in (0, 1)), _lists(out)], ["a", "b", "n", "part", "main", "apart", "own", "other", "es"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), kept.column(3), kept.column(10), kept.column(6), *(pa.array([c[k] for c in classes], pa.int32()) for k in (0, 1, 2)), _lists(out)], ["a", "b", "n", "part", "main", "apart", "own", "other", "shown", "es"])
 
     rows = family.join(common, "a", "left").select("a", "b", "n", "part", "a_n", "linked", "apart", "d", "ce", "ch", "main")
-    made = rows.mapInArrow(run, "a long, b long, n long, part long, main long, apart boolean, own int, other int, es array<long>")
-    return made.select("a", "b", "n", "part", "main", "apart", "own", "other", F.explode("es").alias("e"))
+    made = rows.mapInArrow(run, "a long, b long, n long, part long, main long, apart boolean, own int, other int, shown int, es array<long>")
+    return made.select("a", "b", "n", "part", "main", "apart", "own", "other", "shown", F.explode("es").alias("e"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -266,11 +270,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     told = written(told.withColumn("apart", F.col("part") != F.col("center_part")).join(largest, "b"), "near-told")
     family = told.join(told.where("apart").select("a").distinct(), "a", "left_semi")
     marks = written(prefixes(family, percent), "near-prefixes")
-    name = lambda c, own, other: ["a", "e", F.col("own").alias(own), F.col("other").alias(other), F.col("b").alias(c), F.col("n").alias(f"{c}_n"), F.col("part").alias(f"{c}_part"), F.col("main").alias(f"{c}_main")]
+    name = lambda c, own, other: ["a", "e", F.col("own").alias(own), F.col("other").alias(other), F.col("b").alias(c), F.col("n").alias(f"{c}_n"), F.col("part").alias(f"{c}_part"), F.col("main").alias(f"{c}_main"), F.col("shown").alias(f"{c}_shown")]
     x, y = marks.where("apart").select(*name("x", "x_class", "y_class")), marks.where(F.col("other") >= UNLINKED).select(*name("y", "y_class", "x_class"))
     fits = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
     met = x.join(y, ["a", "e", "x_class", "y_class"]).where((F.col("x_part") != F.col("y_part")) & fits & ((F.col("x_main") != F.col("y_main")) | (F.col("a") == F.col("x_main"))))
-    cross = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # a pair may come from either side, x and y exchanged; each way shows its common elements
+    found = met.groupBy("a", "x", "y").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("x_shown", "y_shown")).alias("shown")).where("common >= shown")
+    cross = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     cross = written(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), "near-cross")
     more = confirm(cross, bodies, words, percent)
 
@@ -284,5 +290,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         labels = labels.join(joined, "component", "left").select("node", F.coalesce("wider", "component").alias("component")).unionByName(alone)
 
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_high", "set_low", F.coalesce("component", "id").alias("component_id"))
+    discard(keys, bodies, star, links, told, marks, cross)
     out = sketches.join(named, ["set_high", "set_low"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all columns as they are.
+
+    The row with the smallest doc_id stays. Where doc_ids repeat or are missing, rows are told apart by their place in the
+    table instead, and the first row of each group stays; ``docs`` has to be a table that is read in the same parts each
+    time. Null, empty and blank texts are no duplicates of anything. An empty table stays empty.
+    """
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null")
+    name = free_name(docs, "_row")
+    numbered = docs.withColumn(name, F.col("doc_id").cast("long") if ids.isEmpty() else row_number())
+    found = near_duplicates(numbered.select(F.col(name).alias("doc_id"), "text"), words, percent)
+    keep = written(found.where("kept").select(F.col("doc_id").alias(name)), "near-kept")
+    if keep.count() <= BROADCAST_IDS:
+        keep = F.broadcast(keep)
+    return numbered.join(keep, name, "left_semi").select(*docs.columns)

@@ -1,65 +1,66 @@
 """The corpus pipeline: each stage works on all that its predecessor kept.
 
 ``run`` applies the stages to ``documents``. All stages but the last return the columns of ``documents``; the last packs
-what is left and returns a row per piece. Rows without a doc_id can't be told apart and go in the first stage; an empty
-table stays empty.
+what is left and returns a row per piece. Stages tell rows apart by themselves, not by doc_id: rows that share a doc_id
+or have none are judged by their own text like any other, and rows that repeat doc_id and text leave one. A null text is
+an empty one, which the first stage rejects; an empty table stays empty; columns that documents has besides stay as they
+are. Each stage's ``docs`` is a table that is read in the same parts each time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lociforge.llm import exact_dedup, language_id, near_dedup, packing, quality
-from lociforge.llm.common import BROADCAST_IDS, written
-
-
-def _only(docs: DataFrame, keep: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keep``; ids are broadcast up to a checked number, else joined by shuffle."""
-    ids = written(keep.select(F.col("doc_id").cast("long").alias("_kept_id")).distinct(), name)
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].cast("long") == ids["_kept_id"], "left_semi")
+from lociforge.llm.common import discard, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts in a language; models are learned from the table's own labels."""
-    model = language_id.train(docs.where(~language_id.held_out(3, 1)))
-    return _only(docs, language_id.identify(docs, model).where(~F.col("rejected")), "pipeline-language")
+    """Keeps texts in a language; models are learned from the table's own labels.
+
+    Texts without a letter, null and empty ones go; without any label, all go.
+    """
+    return language_id.keep_languages(docs, language_id.train(docs.where(~language_id.held_out(3, 1))))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts that the classifier doesn't call bad; it learns from labels of documents that got here."""
+    """Keeps texts that the classifier doesn't call bad; it learns from labels of documents that got here.
+
+    Without labels of both kinds all texts have one score, and stay or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~language_id.held_out(5, 0))
-    machine = quality.train(docs, labels)
-    return _only(docs, quality.score_quality(docs, machine).where("predicted = 1"), "pipeline-quality")
+    return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the one with the largest doc_id."""
-    return _only(docs, exact_dedup.exact_duplicates(docs).where("kept"), "pipeline-exact")
+    """Keeps of equal texts one row, with the largest doc_id; null and empty texts are equal."""
+    return exact_dedup.drop_exact_duplicates(docs)
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five words, similarity 0.8) the one with the smallest doc_id."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept"), "pipeline-near")
+    """Keeps of each group of near duplicates (five words, similarity 0.8) one row, with the smallest doc_id.
+
+    Texts without words are in no group and stay. Where doc_ids repeat or are missing, a group's first row stays.
+    """
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens."""
+    """Packs what is left into sequences of 4096 tokens; a null text is an empty one, a piece of one token."""
     return packing.pack(docs)
 
 
 STAGES = [("language", languages), ("quality", good), ("exact", distinct), ("near", different), ("pack", packed)]
 
-#: Models and tokenizers are beyond SQL; a plain version in the tests checks the stages.
+#: Models and tokenizers are beyond SQL; the tests hold each stage against plain decisions, text by text.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    before = []
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)

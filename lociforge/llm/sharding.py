@@ -1,9 +1,11 @@
 """Size-tiered sharding: arrivals become small immutable shards, shards of similar size merge, a manifest names what counts.
 
 A store is a folder with ``data/`` (Parquet files, never changed) and ``manifest/`` (one JSON-lines file per version, a
-line for each shard). A version is written aside and renamed into place; the rename fails if another writer took the
-number, so readers see a whole version or none. Merges read a tier's shards and write one file for each group, without
-a shuffle. DataFrame operations only; files are listed through the store's own file system.
+line for each shard). A version is written aside and renamed into place without replacing: of two writers that want one
+number the file system lets one through, so readers see a whole version or none. That needs a file system whose rename is
+atomic; on plain object stores one writer at a time is safe. Merges read a tier's shards and write one file for each
+group, without a shuffle. Merged shards stay until ``vacuum``, so a reader of any version that is retained goes on while
+merges run. DataFrame operations only; files are listed through the store's own file system.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import json
 import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .common import shared_dir
 
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
+#: Versions that ``vacuum`` leaves.
+RETAIN = 2
 #: Groups that one job merges.
 JOB_GROUPS = 256
 #: Manifest rows up to which a manifest is broadcast.
@@ -55,15 +60,43 @@ class ShardStore:
 
     def commit(self, base: int, shards: list[dict]) -> int:
         """Publishes ``shards`` as the version after ``base``; FileExistsError if another commit came first."""
-        aside = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
+        jvm = self.spark._jvm
+        aside, target = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(self._file(base + 1))
         out = self._fs.create(aside, False)
         out.write("".join(json.dumps(s) + "\n" for s in shards).encode())
         out.close()
-        if self._fs.exists(self._path(self._file(base + 1))) or not self._fs.rename(aside, self._path(self._file(base + 1))):
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(aside, target, options)  # without OVERWRITE
+        except Py4JJavaError as e:
             self._fs.delete(aside, False)
-            raise FileExistsError(self._file(base + 1))
+            if self._fs.exists(target):
+                raise FileExistsError(self._file(base + 1)) from e
+            raise
         return base + 1
 
+    def _publish(self, base: int, kept: list[dict], new: list[dict]) -> int:
+        """``commit``; if it fails, the new shards go, as no version names them."""
+        try:
+            return self.commit(base, kept + new)
+        except BaseException:
+            for folder in {s["path"].rpartition("/")[0] for s in new}:
+                self._fs.delete(self._path(folder), True)
+            raise
+
+    def vacuum(self, retain: int = RETAIN) -> int:
+        """Deletes versions but the last ``retain``, and shards that only those named; returns how many shards went."""
+        last = self.version()
+        old = [v for v in range(1, last - max(retain, 1) + 1) if self._fs.exists(self._path(self._file(v)))]
+        used = {s["path"] for v in range(max(1, last - max(retain, 1) + 1), last + 1) for s in self.shards(v)}
+        gone = {s["path"] for v in old for s in self.shards(v)} - used
+        for path in gone:
+            self._fs.delete(self._path(path), False)
+        for v in old:
+            self._fs.delete(self._path(self._file(v)), False)
+        return len(gone)
+
     # -- data
 
     def tier(self, size: int) -> int:
@@ -80,7 +113,7 @@ class ShardStore:
     def append(self, df: DataFrame) -> int:
         """One arrival: each scan task's rows become a shard. Empty shards are left out."""
         base = self.version()
-        return self.commit(base, self.shards(base) + self._write(df))
+        return self._publish(base, self.shards(base), self._write(df))
 
     def _groups(self, shards: list[dict], final: bool) -> list[list[dict]]:
         """Shards of a tier, in order, cut where a group would pass the target; a tier merges when it has fan-in many, or at last two."""
@@ -98,8 +131,11 @@ class ShardStore:
             out.append(group)
         return [g for g in out if len(g) > 1]
 
-    def compact(self, final: bool = False, vacuum: bool = True) -> int:
-        """Merges until no tier is due; ``final`` also merges what is below the fan-in, across tiers. Returns the version."""
+    def compact(self, final: bool = False) -> int:
+        """Merges until no tier is due; ``final`` also merges what is below the fan-in, across tiers. Returns the version.
+
+        What was merged stays readable through the versions before, until ``vacuum``.
+        """
         while True:
             base = self.version()
             shards = self.shards(base)
@@ -118,10 +154,7 @@ class ShardStore:
             new = self._write(merged)
             if sum(s["rows"] for s in new) != sum(s["rows"] for g in groups for s in g):
                 raise RuntimeError("a merge lost or added rows; nothing is committed")
-            version = self.commit(base, [s for s in shards if s["path"] not in old] + new)
-            if vacuum:
-                for path in old:
-                    self._fs.delete(self._path(path), False)
+            self._publish(base, [s for s in shards if s["path"] not in old], new)
 
     def read(self, version: int | None = None) -> DataFrame:
         """A version's rows, with ``_metadata`` of their shard."""
@@ -137,18 +170,20 @@ class ShardStore:
 def shard_documents(docs: DataFrame, arrivals: int = 4, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """Each document's shard after its table came in ``arrivals`` batches: ``doc_id, shard, shard_rows, shard_bytes, tier, version``.
 
-    The input's files are dealt to the arrivals in order; input that isn't read from files is one arrival. All rows
-    and columns are kept as they are, nulls, repeated rows and long texts included; an empty table gives an empty
-    result. tier is 0 for shards of target size.
+    Rows are dealt to the arrivals by a hash of doc_id and text, however few files the table has; rows that repeat both
+    come together. All rows and columns are kept as they are, nulls, repeated rows and long texts included; an empty
+    table gives an empty result. tier is 0 for shards of target size. After each arrival the store is compacted, and
+    vacuumed down to ``RETAIN`` versions.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes, fan_in)
-    files = sorted(docs.inputFiles())
-    each = math.ceil(len(files) / arrivals) if files else 0
-    for batch in [files[i : i + each] for i in range(0, len(files), each)] if len(files) > 1 else [None]:
-        store.append(docs if batch is None else spark.read.schema(docs.schema).parquet(*batch))
+    arrival = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
+    for k in range(arrivals):
+        store.append(docs.where(arrival == k))
         store.compact()
+        store.vacuum()
     version = store.compact(final=True)
+    store.vacuum()
     none = spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("shard"), *(F.lit(0).cast("long").alias(c) for c in ("shard_rows", "shard_bytes")), F.lit(0).alias("tier"), F.lit(version).cast("long").alias("version"))
     if not store.shards(version):
         return none

@@ -10,20 +10,25 @@ search for similar pairs compares only neighbouring partitions of set length.
 from __future__ import annotations
 
 import base64
+import json
+import math
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_BYTES, WordCache, texts, use_worker, written
+from .common import CACHE_BYTES, WordCache, row_number, texts, use_worker, written
 
 CHAIN = 2
 #: Words without an anchor after which a content word may stand in for one.
 DRY = 8
+#: Rows in a range of doc_ids, at most, about.
+RANGE_ROWS = 65_536
 #: The commonest function words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was were with "
@@ -142,24 +147,49 @@ def similar_fingerprints(marked: DataFrame, at_least: float = 0.8) -> DataFrame:
     return both.mapInArrow(compare, "left_id long, right_id long, similarity double").where("similarity > 0").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "similarity")
 
 
+def _range_of(bounds: list[int]) -> Column:
+    """How many of the ascending bounds are below doc_id, by a coarse step and a fine one."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    fine = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    coarse = F.from_json(F.lit(json.dumps([p[-1] for p in parts[:-1]])), "array<bigint>")
+    place = F.size(F.filter(coarse, lambda b: b < F.col("doc_id")))
+    return (place * width + F.size(F.filter(F.get(fine, place), lambda b: b < F.col("doc_id")))).cast("int")
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
-    """``bucket, role, doc_id, text``: ranges of doc_id in descending order within partitions, each ending with (role 1) the document that follows its last."""
+    """``bucket, role, doc_id, text``: ranges in descending order of doc_id, nulls last, within partitions, each ending with (role 1) the document that follows its last.
+
+    A doc_id that fills several ranges is cut into as many by a hash of its rows, and so are the rows without one.
+    """
     spark = docs.sparkSession
-    ranges = min(10_000, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = texts(docs).where("doc_id is not null")
-    bounds = rows.agg(F.percentile_approx("doc_id", [(k + 1) / ranges for k in range(ranges - 1)], 10 * ranges)).first()[0]
-    bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    largest = {r[0]: r[1] for r in rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id")).collect()}
-    order = sorted(largest)
-    after = {largest[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}  # the largest of a range follows the smallest of the next
-    if not after:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("role"), "doc_id", "text")
-    to = F.element_at(F.create_map(*[x for k, v in after.items() for x in (F.lit(k).cast("long"), F.lit(v))]), F.col("doc_id"))
-    place = lambda b, role: F.struct(b.cast("int").alias("bucket"), F.lit(role).alias("role"))
-    rows = rows.withColumn("bucket", bucket).withColumn("to", F.when(F.col("doc_id").isin(list(after)), to))
-    rows = rows.select("doc_id", "text", F.inline(F.when(F.col("to").isNull(), F.array(place(F.col("bucket"), 0))).otherwise(F.array(place(F.col("bucket"), 0), place(F.col("to"), 1)))))
-    return rows.select("bucket", "role", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").desc(), F.xxhash64("text"))
+    rows = texts(docs).withColumn("spot", F.pmod(F.xxhash64("text", row_number()), F.lit(1 << 30)))
+    known, missing = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    each = max(1, min(RANGE_ROWS, (known + missing) // (3 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1))
+    ranges = -(-known // each)
+    cuts = rows.agg(F.percentile_approx("doc_id", [(k + 1) / ranges for k in range(ranges - 1)], 10 * ranges)).first()[0] if ranges > 1 else []
+    bounds = sorted(set(cuts))
+    heavy = {b: n for b, n in Counter(cuts).items() if n > 1}
+    # the range of a bound ends with it; what a heavy doc_id has by itself is cut by its spots
+    at = _range_of(bounds) + 1
+    slices = F.lit(1) if not heavy else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for p in heavy.items() for x in p]), F.col("doc_id")), F.lit(1))
+    slices = F.when(F.col("doc_id").isNull(), F.lit(max(1, -(-missing // each)))).otherwise(slices)
+    part = F.when(slices > 1, F.floor((F.lit((1 << 30) - 1) - F.col("spot")) * slices / (1 << 30)) + 1).otherwise(0)
+    bucket = F.struct(F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int").alias("at"), part.cast("int").alias("part"))
+    rows = rows.withColumn("bucket", bucket)
+    firsts = {tuple(r["bucket"]): (r["first"]["doc_id"], -r["first"]["back"]) for r in rows.select("bucket", F.struct("doc_id", (-F.col("spot")).alias("back")).alias("o")).groupBy("bucket").agg(F.max("o").alias("first")).collect()}
+    order = sorted(firsts)
+    told = [(*b, *firsts[b], *order[(i + 1) % len(order)]) for i, b in enumerate(order)]  # a range's first row follows the range above it
+    ends = spark.createDataFrame(told, "at int, part int, first long, first_spot long, to_at int, to_part int")
+    rows = rows.select("bucket.at", "bucket.part", "doc_id", "spot", "text").join(F.broadcast(ends), ["at", "part"])  # a row per range
+    own = F.struct("at", "part", F.lit(0).alias("role"))
+    copy = F.struct(F.col("to_at").alias("at"), F.col("to_part").alias("part"), F.lit(1).alias("role"))
+    opens = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("spot") == F.col("first_spot"))
+    rows = rows.select("doc_id", "spot", "text", F.inline(F.when(opens, F.array(own, copy)).otherwise(F.array(own))))
+    rows = rows.select(F.struct("at", "part").alias("bucket"), "role", "doc_id", "text", "spot")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").desc(), "spot").select(F.xxhash64("bucket").alias("bucket"), "role", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -171,10 +201,10 @@ def edited(text: str, following: str) -> str:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of each document.
 
-    The next document has the next smaller doc_id, of the smallest the largest; of a table with one row it is the row
-    itself. Rows that share a doc_id follow each other in the order of a hash of their texts. A null text is an empty
-    one; rows with a null doc_id have no place in the order and are left out. An empty table gives an empty result.
-    One shuffle, of whole rows by range of doc_id.
+    The next document has the next smaller doc_id; rows without one come last, and after the last row the first. Of a
+    table with one row it is the row itself. Rows that share a doc_id, or have none, follow each other in the order of a
+    hash of their text and place in the table, which has to be read in the same parts each time. A null text is an empty
+    one. An empty table gives an empty result. One shuffle, of whole rows by range of doc_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

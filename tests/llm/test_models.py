@@ -72,16 +72,17 @@ def sum_prefix(model, word):
         p = np.full(len(model.languages), 1 / model.marks)
         for k in range(min(language_id.ORDER, place + 1)):
             h = language_id._hashes(codes[: place + 1])[k][place]
-            share = lookup(model, h, model.share, 0.0)
-            back = model.empty if k == 0 else lookup(model, language_id._hashes(codes[:place])[k - 1][place - 1], model.back, 1.0)
+            share = lookup(model, h, "share", 0.0)
+            back = model.empty if k == 0 else lookup(model, language_id._hashes(codes[:place])[k - 1][place - 1], "back", 1.0)
             p = share + back * p
         out += np.log(p)
     return out
 
 
-def lookup(model, key, table, default):
-    at = int(np.searchsorted(model.keys, key))
-    return table[at] if at < len(model.keys) and model.keys[at] == key else np.full(table.shape[1], default)
+def lookup(model, key, name, default):
+    """[language]: what each language's own table has for a hash."""
+    places = [(g, int(np.searchsorted(g.keys, key))) for g in model.grams]
+    return np.array([getattr(g, name)[at] if at < len(g.keys) and g.keys[at] == key else default for g, at in places], float)
 
 
 def test_vectorised_scores_equal_one_by_one():

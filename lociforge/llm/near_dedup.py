@@ -10,8 +10,8 @@ bucket's center, its smallest id (a star, not all pairs). What the star leaves a
 ``d(x)`` the symmetric difference of x and the center, two sets x, y of sizes n, m are linked if and only if
 ``|d(x)| + |d(y)| - 2 |d(x) & d(y)| <= c (n + m)`` with ``c = (1 - s) / (1 + s)``. A set that isn't linked with the center
 has a large difference, so a link with it needs a large common part of the differences, and prefixes of the two
-differences (in an order from rare to common, as a sample of the center's family shows) share an element, or ``SHOWN`` of
-them if at least as many are needed. Only such pairs are compared; members of a family that vary independently share none but the common elements, which come last. A family
+differences (in an order from rare to common, as a sample of the center's family shows) share an element (``SHOWN`` of
+them), after which enough of both is left. Only such pairs are compared; members of a family that vary independently share none but the common elements, which come last. A family
 finds all links between its members, so two sets with the same largest family meet there and in no other. Every link is
 confirmed on the full sets of both texts, as integers.
 """
@@ -37,7 +37,7 @@ ROWS = 3
 #: Members of a family whose differences set the order of elements, about.
 SAMPLED = 48
 #: Common elements that prefixes show, where that many are needed.
-SHOWN = 2
+SHOWN = 1
 
 _RNG = np.random.Generator(np.random.Philox(key=11))
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,7 +199,7 @@ def prefix_lengths(size: int, n: int, center: int, linked: bool, percent: int, s
 
 
 def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``a, b, n, part, main, apart, own, other, shown, e``: a row per element of each prefix, from ``compare_stars`` rows with their components.
+    """``a, b, n, part, main, size, apart, own, other, shown, place, e``: a row per element of each prefix with its place in the difference, from ``compare_stars`` rows with their components.
 
     The order of elements is by how many of a sample of the family's differences hold them, then by value. The sample
     (about ``SAMPLED`` members) only sets the order; every member has its prefixes.
@@ -213,10 +213,11 @@ def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _own_worker()
         for batch in batches:
-            at, classes, out = [], [], []
+            at, sizes, classes, out = [], [], [], []
             rows = zip(*(batch.column(k).to_pylist() for k in (2, 4, 5)), *(batch.column(k) for k in (7, 8, 9)), strict=True)
             for i, (n, center, linked, d, ce, ch) in enumerate(rows):
                 d = d.values.to_numpy()
+                sizes.append(len(d))
                 held = np.zeros(len(d), np.int64)
                 if ce.is_valid:
                     ce, ch = ce.values.to_numpy(), ch.values.to_numpy()
@@ -229,11 +230,11 @@ def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
                     classes.append((own, other, shown))
                     out.append(d[order[:length]])
             kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), kept.column(3), kept.column(10), kept.column(6), *(pa.array([c[k] for c in classes], pa.int32()) for k in (0, 1, 2)), _lists(out)], ["a", "b", "n", "part", "main", "apart", "own", "other", "shown", "es"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), kept.column(3), kept.column(10), pa.array([sizes[i] for i in at], pa.int64()), kept.column(6), *(pa.array([c[k] for c in classes], pa.int32()) for k in (0, 1, 2)), _lists(out)], ["a", "b", "n", "part", "main", "size", "apart", "own", "other", "shown", "es"])
 
     rows = family.join(common, "a", "left").select("a", "b", "n", "part", "a_n", "linked", "apart", "d", "ce", "ch", "main")
-    made = rows.mapInArrow(run, "a long, b long, n long, part long, main long, apart boolean, own int, other int, shown int, es array<long>")
-    return made.select("a", "b", "n", "part", "main", "apart", "own", "other", "shown", F.explode("es").alias("e"))
+    made = rows.mapInArrow(run, "a long, b long, n long, part long, main long, size long, apart boolean, own int, other int, shown int, es array<long>")
+    return made.select("a", "b", "n", "part", "main", "size", "apart", "own", "other", "shown", F.posexplode("es").alias("place", "e"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -270,10 +271,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     told = written(told.withColumn("apart", F.col("part") != F.col("center_part")).join(largest, "b"), "near-told")
     family = told.join(told.where("apart").select("a").distinct(), "a", "left_semi")
     marks = written(prefixes(family, percent), "near-prefixes")
-    name = lambda c, own, other: ["a", "e", F.col("own").alias(own), F.col("other").alias(other), F.col("b").alias(c), F.col("n").alias(f"{c}_n"), F.col("part").alias(f"{c}_part"), F.col("main").alias(f"{c}_main"), F.col("shown").alias(f"{c}_shown")]
+    name = lambda c, own, other: ["a", "e", F.col("own").alias(own), F.col("other").alias(other), F.col("b").alias(c), F.col("n").alias(f"{c}_n"), F.col("part").alias(f"{c}_part"), F.col("main").alias(f"{c}_main"), F.col("shown").alias(f"{c}_shown"), F.col("size").alias(f"{c}_size"), F.col("place").alias(f"{c}_place")]
     x, y = marks.where("apart").select(*name("x", "x_class", "y_class")), marks.where(F.col("other") >= UNLINKED).select(*name("y", "y_class", "x_class"))
     fits = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
-    met = x.join(y, ["a", "e", "x_class", "y_class"]).where((F.col("x_part") != F.col("y_part")) & fits & ((F.col("x_main") != F.col("y_main")) | (F.col("a") == F.col("x_main"))))
+    # at the last of the common elements that prefixes show, what is left of both differences has to reach their overlap
+    left = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) - 1 + SHOWN
+    reaches = (100 + percent) * (2 * left - F.col("x_size") - F.col("y_size")) + (100 - percent) * (F.col("x_n") + F.col("y_n")) >= 0
+    met = x.join(y, ["a", "e", "x_class", "y_class"]).where((F.col("x_part") != F.col("y_part")) & fits & reaches & ((F.col("x_main") != F.col("y_main")) | (F.col("a") == F.col("x_main"))))
     # a pair may come from either side, x and y exchanged; each way shows its common elements
     found = met.groupBy("a", "x", "y").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("x_shown", "y_shown")).alias("shown")).where("common >= shown")
     cross = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -30,7 +30,7 @@ NAMES = ("contig_stats", "class_counts", "gap_histogram", "indel_length_histogra
 def fit(spark: SparkSession) -> None:
     """All statistics of a profile that come from variant rows."""
     stats = cohort.variant_stats(variants(spark, SF_DIR))
-    H.checked_edges(stats["gap_dist"]["edges"])
+    H.Edges(stats["gap_dist"]["edges"])
 
 
 def bulk(spark: SparkSession) -> None:

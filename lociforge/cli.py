@@ -91,10 +91,10 @@ def _fit(args: argparse.Namespace) -> None:
     spark = _session(None)
     if args.sites_vcf:
         sites = vcf.read_sites(spark, args.sites_vcf, args.contigs)
-        profile = cohort.fit_sites(sites, args.n_samples, args.phased_rate, args.name, args.sites_vcf, args.ploidy, args.payload)
+        profile = cohort.fit_sites(sites, args.n_samples, args.phased_rate, args.name, args.sites_vcf, args.ploidy, args.payload, in_order=True)
     else:
         n = len(vcf.vcf_samples(spark, args.vcf))
-        profile = cohort.fit_genotyped(vcf.read_vcf(spark, args.vcf), n, args.name, args.vcf, args.ploidy, args.payload, args.contigs, int(args.phase_sample_mb * 1_000_000))
+        profile = cohort.fit_genotyped(vcf.read_vcf(spark, args.vcf), n, args.name, args.vcf, args.ploidy, args.payload, args.contigs, int(args.phase_sample_mb * 1_000_000), in_order=True)
     write_profile(profile, args.out)
 
 

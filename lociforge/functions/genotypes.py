@@ -10,8 +10,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-#: Alleles are unsigned 32-bit numbers, a leading plus included.
-_CALL = r"\A(?:\.|\+?[0-9]+)(?:[|/](?:\.|\+?[0-9]+))*\z"
+#: Alleles are unsigned 32-bit numbers, a leading plus included: fewer than ten digits, or ten up to 4294967295.
+_NUMBER = (
+    r"\+?0*(?:[0-9]{1,9}|[1-3][0-9]{9}|4[01][0-9]{8}|42[0-8][0-9]{7}|429[0-3][0-9]{6}|4294[0-8][0-9]{5}|42949[0-5][0-9]{4}|429496[0-6][0-9]{3}"
+    r"|4294967[01][0-9]{2}|42949672[0-8][0-9]|429496729[0-5])"
+)
+_CALL = rf"\A(?:\.|{_NUMBER})(?:[|/](?:\.|{_NUMBER}))*\z"
 
 
 def _tokens(gt: Column) -> Column:
@@ -19,16 +23,15 @@ def _tokens(gt: Column) -> Column:
 
 
 def is_genotype(gt: Column | str) -> Column:
-    g = _col(gt)
-    fits = F.forall(_tokens(g), lambda t: (t == ".") | (F.coalesce(t.try_cast("bigint"), F.lit(-1)).between(0, 4294967295)))
-    return g.rlike(_CALL) & fits
+    return _col(gt).rlike(_CALL)
 
 
 def parse_genotype(gt: Column | str) -> Column:
     """``alleles, phased`` of a GT string, with null for a missing allele; null if the string is malformed."""
     g = _col(gt)
-    alleles = F.transform(_tokens(g), lambda t: F.when(t != ".", t.try_cast("bigint")))
-    phased = F.transform(F.regexp_extract_all(g, F.lit("([|/])"), F.lit(1)), lambda s: s == "|")
+    alleles = F.transform(_tokens(g), lambda t: t.try_cast("bigint"))
+    marks = F.translate(g, ".+0123456789", "")
+    phased = F.when(F.length(marks) > 0, F.transform(F.split(marks, ""), lambda s: s == "|")).otherwise(F.array().cast("array<boolean>"))
     return F.when(is_genotype(g), F.struct(alleles.alias("alleles"), phased.alias("phased")))
 
 

@@ -139,8 +139,24 @@ def sortedness_violations(variants: DataFrame, order: Column | str) -> DataFrame
     return variants.withColumn("previous", F.lag("pos").over(before)).where("pos < previous")
 
 
-def assert_sorted(variants: DataFrame, order: Column | str) -> None:
-    if not sortedness_violations(variants, order).isEmpty():
+def scan_violations(variants: DataFrame) -> DataFrame:
+    """``chrom, pos, previous``: where a table that is read from files goes back in position within a contig.
+
+    Rows are taken in the order of the scan, each scan task by itself, so one contig isn't one task; across tasks a row
+    per contig and task tells the first and last positions.
+    """
+    at = F.monotonically_increasing_id()  # task and place in it
+    rows = variants.select("chrom", "pos", at.alias("at")).withColumn("part", F.shiftright("at", 33))
+    inner = rows.select("chrom", "pos", F.lag("pos").over(Window.partitionBy("chrom", "part").orderBy("at")).alias("previous"))
+    ends = rows.groupBy("chrom", "part").agg(F.min_by("pos", "at").alias("pos"), F.max_by("pos", "at").alias("last"))
+    across = ends.select("chrom", "pos", F.lag("last").over(Window.partitionBy("chrom").orderBy("part")).alias("previous"))
+    return inner.unionByName(across).where("pos < previous")
+
+
+def assert_sorted(variants: DataFrame, order: Column | str | None = None) -> None:
+    """Raises unless positions ascend within each contig, in the order of a column or else of the scan."""
+    found = scan_violations(variants) if order is None else sortedness_violations(variants, order)
+    if not found.isEmpty():
         raise ValueError("variants must be sorted by position within each contig")
 
 
@@ -172,7 +188,7 @@ def variant_stats(variants: DataFrame) -> dict:
         "contigs": [{"id": r["chrom"], "n_variants": r["n"], "density_per_kb": r["density_per_kb"]} for r in contigs],
         "contig_pos_min": {r["chrom"]: r["pos_min"] for r in contigs},
         "gap_dist": H.collected(gap_histogram(variants), H.gap_edges()),
-        "indel_length": H.finalized(bins, H.INDEL_EDGES, alleles["indel_out"]),
+        "indel_length": H.Edges(H.INDEL_EDGES).shares(bins, alleles["indel_out"]),
         "class_counts": {c: alleles[c] for c in FIT_CLASSES},
         "titv": titv_value(alleles["snp"], alleles["n_ts"]),
         "multiallelic_rate": sum(r["multi"] for r in contigs) / n if n else 0.0,
@@ -201,14 +217,19 @@ def build_profile(
 def _from_variants(variants: DataFrame) -> tuple[dict, dict[str, int]]:
     stats = variant_stats(variants)
     if not stats["contigs"]:
-        raise ValueError("no variants found for the requested contig(s)")
+        raise ValueError("the input has no variants in these contigs")
     return stats, stats.pop("contig_pos_min")
 
 
-def fit_genotyped(records: DataFrame, n_samples: int, name: str, source: str, ploidy: int = 2, payload: str = "gt-only", contigs: Sequence[str] | None = None, phase_window: int = 1_000_000) -> dict:
-    """A profile from ``sources.vcf.read_vcf`` records: allele counts, missing and phased rates come from their genotypes."""
+def fit_genotyped(records: DataFrame, n_samples: int, name: str, source: str, ploidy: int = 2, payload: str = "gt-only", contigs: Sequence[str] | None = None, phase_window: int = 1_000_000, in_order: bool = False) -> dict:
+    """A profile from ``sources.vcf.read_vcf`` records: allele counts, missing and phased rates come from their genotypes.
+
+    ``in_order``: records come straight from files, and must be sorted there.
+    """
     if contigs:
         records = records.where(F.col("chrom").isin(*contigs))
+    if in_order:
+        assert_sorted(records)
     stats, first = _from_variants(records.select("chrom", "pos", "id", "ref", "alt"))
     calls = F.transform("samples", lambda s: F.split_part(s, F.lit(":"), F.lit(1)))
     known = records.select("chrom", "pos", F.size(F.split("alt", ",")).alias("n_alt"), calls.alias("calls"))
@@ -218,15 +239,17 @@ def fit_genotyped(records: DataFrame, n_samples: int, name: str, source: str, pl
     start = stats["contigs"][0]["id"]
     phased = phased_rate(known.where((F.col("chrom") == start) & F.col("pos").between(first[start], first[start] + phase_window)).select("chrom", "pos", F.explode("calls").alias("gt")), start, first[start], phase_window).first()[0]
     if phased is None:
-        raise ValueError("no genotype calls found in the phase-sampling window; cannot estimate phased_rate")
+        raise ValueError("the window that phasing is measured in has no calls")
     return build_profile(
         name=name, source=source, n_samples=n_samples, sfs=H.collected(sfs_histogram(per_allele, "ac", n_samples), H.sfs_edges(n_samples)), missing_rate=missing_rate(missing).first()[0],
         phased_rate=phased, ploidy=ploidy, payload=payload, supplied=["ploidy"], **stats,
     )
 
 
-def fit_sites(sites: DataFrame, n_samples: int, phased_rate: float, name: str, source: str, ploidy: int = 2, payload: str = "gt-only") -> dict:
-    """A profile from sites with ``ac`` and ``an``; the cohort's size and phasing are supplied."""
+def fit_sites(sites: DataFrame, n_samples: int, phased_rate: float, name: str, source: str, ploidy: int = 2, payload: str = "gt-only", in_order: bool = False) -> dict:
+    """A profile from sites with ``ac`` and ``an``; the cohort's size and phasing are supplied; ``in_order`` as above."""
+    if in_order:
+        assert_sorted(sites)
     stats, _ = _from_variants(sites.select("chrom", "pos", "id", "ref", "alt"))
     return build_profile(
         name=name, source=source, n_samples=n_samples, sfs=H.collected(sfs_histogram(sites, "ac", n_samples), H.sfs_edges(n_samples)), missing_rate=missing_rate_sites(sites, n_samples).first()[0],

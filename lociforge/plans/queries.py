@@ -98,11 +98,11 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(spark, sf_dir).select("pk", "sk", "ln", "pos", "ref", form.alias("alt"))
 
 
-def _gts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_calls(variants(spark, sf_dir)).select("pk", "sk", "ln", "pos", F.posexplode("calls").alias("s", "c"))
+def _gts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    rows = with_calls(variants(spark, sf_dir)).select("pk", "sk", "ln", "pos", *more, F.posexplode("calls").alias("s", "c"))
     bar = F.when((F.col("pk") + F.col("ln")) % 3 != 0, "|").otherwise("/")
     one = lambda k: F.when(F.col("c")[k] < 0, ".").otherwise(F.col("c")[k].cast("string"))
-    return rows.select("pk", "sk", "ln", "pos", "s", F.concat(one(0), bar, one(1), F.when((F.col("pk") + F.col("s")) % 5 == 0, "/2").otherwise("")).alias("gt"))
+    return rows.select("pk", "sk", "ln", "pos", *more, "s", F.concat(one(0), bar, one(1), F.when((F.col("pk") + F.col("s")) % 5 == 0, "/2").otherwise("")).alias("gt"))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +173,7 @@ def missing_rate_sites(spark, sf_dir):
 
 @query("select sum(contains(gt, '|')::int) / count(*) as rate from (select g.*, v.chrom from gts g join variants v using (pk, sk, ln, pos)) where chrom = 'chr1' and pos between 1000 and 1001000")
 def phased_rate(spark, sf_dir):
-    gts = _gts(spark, sf_dir).join(variants(spark, sf_dir).select("pk", "sk", "ln", "pos", "chrom"), ["pk", "sk", "ln", "pos"])
-    return cohort.phased_rate(gts, "chr1", 1000)
+    return cohort.phased_rate(_gts(spark, sf_dir, "chrom"), "chr1", 1000)
 
 
 @query(f"""select (select count(*) from variants) as n_records, count(*) as n_alleles, (select sum(contains(alt, ',')::int) / count(*) from variants) as multiallelic_rate,
@@ -280,8 +279,9 @@ def genotype_phase(spark, sf_dir):
 
 @query("select gt, count(*) as n from gts group by gt")
 def genotype_render(spark, sf_dir):
-    p = G.parse_genotype("gt")
-    return _gts(spark, sf_dir).select(G.render_genotype(p["alleles"], p["phased"]).alias("gt")).groupBy("gt").agg(F.count(F.lit(1)).alias("n"))
+    """Each distinct string is parsed and rendered once; what renders alike is counted together."""
+    distinct = _gts(spark, sf_dir).groupBy("gt").agg(F.count(F.lit(1)).alias("n")).withColumn("p", G.parse_genotype("gt"))
+    return distinct.groupBy(G.render_genotype("p.alleles", "p.phased").alias("gt")).agg(F.sum("n").alias("n"))
 
 
 @query("""select k as kind, cast(n as int) as n_alt, cast(p as int) as ploidy, case k when 'fixed' then 3 when 'flag' then 0 when 'A' then n when 'R' then n + 1 when 'G' then cast(factorial(cast(n + p as int)) / (factorial(cast(n as int)) * factorial(cast(p as int))) as bigint) end as cardinality
@@ -600,7 +600,11 @@ def genotype_checksum(spark, sf_dir):
 def vcf_roundtrip(spark, sf_dir):
     """Rows written as VCF lines in folder parts, and read again."""
     rows = variants(spark, sf_dir)
-    folder = tempfile.mkdtemp(prefix="lociforge-") if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lociforge-")
     path = f"{folder}/roundtrip-{spark.sparkContext.applicationId}-{id(rows)}"
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."))
     rows.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip")

@@ -31,17 +31,21 @@ def read_variants(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return rows.select(get("#CHROM").alias("chrom"), get("POS").try_cast("bigint").alias("pos"), get("ID").alias("id"), get("REF").alias("ref"), get("ALT").alias("alt"))
 
 
-def count_meta_lines(spark: SparkSession, path: str) -> int:
-    """How many ``##`` lines a table starts with; only its head is read."""
-    room = 10_000
+def _head(spark: SparkSession, path: str, mark: str, room: int = 10_000) -> list[str]:
+    """The lines that a table starts with as long as they start with ``mark``; only its head is read."""
     while True:
-        head = _lines(spark, path).take(room)
-        n = next((k for k, r in enumerate(head) if not r[0].startswith("##")), len(head))
+        head = [r[0] for r in _lines(spark, path).take(room)]
+        n = next((k for k, line in enumerate(head) if not line.startswith(mark)), len(head))
         if n < room:
-            return n
+            return head[:n]
         room *= 4  # the header goes on
 
 
+def count_meta_lines(spark: SparkSession, path: str) -> int:
+    """How many ``##`` lines a table starts with."""
+    return len(_head(spark, path, "##"))
+
+
 def info_value(info: Column | str, key: str) -> Column:
     """The text of an INFO key, null where it is missing or a flag."""
     c = F.col(info) if isinstance(info, str) else info
@@ -58,8 +62,8 @@ def read_vcf(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def vcf_header(spark: SparkSession, path: str) -> list[str]:
-    """The lines that start with ``#``, in order."""
-    return [r[0] for r in _lines(spark, path).where(F.col("value").startswith("#")).collect()]
+    """The lines at the head of a file that start with ``#``, in order."""
+    return _head(spark, path, "#")
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:

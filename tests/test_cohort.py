@@ -29,7 +29,7 @@ def test_histograms(spark):
             assert H.collected(H.binned(df, F.col("v"), edges), edges) == H.histogram(values, edges)
     assert H.sfs_edges(3) == [1, 2, 4, 6] and H.sfs_edges(1) == [1, 2] and H.sfs_edges(4) == [1, 2, 4, 8]
     assert len(H.gap_edges()) == 25 and H.gap_edges()[-1] == pytest.approx(1e5)
-    for bad in (lambda: H.checked_edges([1]), lambda: H.checked_edges([1, 1]), lambda: H.sfs_edges(0)):
+    for bad in (lambda: H.Edges([1]), lambda: H.Edges([1, 1]), lambda: H.Edges.geometric(5, 1, 3), lambda: H.sfs_edges(0)):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(ValueError), pytest.warns(UserWarning):
@@ -50,6 +50,16 @@ def test_variant_stats(spark):
         cohort.assert_sorted(variants(spark, [("1", 200, "A", "C"), ("1", 100, "A", "C")]).coalesce(1).withColumn("line", F.monotonically_increasing_id()), "line")
 
 
+def test_order_of_the_scan(spark):
+    """Within a task's rows and across tasks."""
+    cohort.assert_sorted(variants(spark, [("1", p, "A", "C") for p in range(50)] + [("2", p, "A", "C") for p in range(50)]).coalesce(1))
+    for positions in ([5, 9, 7, 8, 9, 10, 11, 12], [50, 60, 70, 80, 10, 20, 30, 40]):
+        rows = spark.sparkContext.parallelize([("1", p) for p in positions], 4).toDF("chrom string, pos bigint")
+        with pytest.raises(ValueError):
+            cohort.assert_sorted(rows)
+    cohort.assert_sorted(spark.sparkContext.parallelize([("1", p) for p in range(40)], 4).toDF("chrom string, pos bigint"))
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a.pvar").write_text("##x\n##y\n#CHROM\tPOS\tID\tREF\tALT\tINFO\n1\t10\t.\tA\tG\t.\n22\t20\t.\tC\tT,G\t.\n")
     assert vcf.count_meta_lines(spark, str(tmp_path / "a.pvar")) == 2

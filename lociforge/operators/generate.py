@@ -55,8 +55,16 @@ class HistogramSampler:
 
     def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
         """Values uniform in a bin drawn by weight; floored, they stay in their bin."""
-        k = np.minimum(np.searchsorted(self.cdf, rng.random(n), "left"), len(self.cdf) - 1)
-        return self.edges[k] + rng.random(n) * (self.edges[k + 1] - self.edges[k])
+        k = self.bins(rng.random(n))
+        return self.within(k, rng.random(n))
+
+    def bins(self, u: np.ndarray) -> np.ndarray:
+        """The bin of each uniform number."""
+        return np.minimum(np.searchsorted(self.cdf, u, "left"), len(self.cdf) - 1)
+
+    def within(self, k: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The value at ``v`` of the way through bin ``k``."""
+        return self.edges[k] + v * (self.edges[k + 1] - self.edges[k])
 
 
 class Samplers:
@@ -240,8 +248,13 @@ def layout(spark: SparkSession, spec: CohortSpec, counts: Sequence[int]) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(spans, pa.int64())], ["contig_idx", "local_block", "n", "span"])
 
     spans = blocks(spark, spec, counts).repartition("contig_idx", "local_block").mapInArrow(run, "contig_idx int, local_block bigint, n bigint, span bigint")
-    before = Window.partitionBy("contig_idx").orderBy("local_block").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("offset", F.coalesce(F.sum("span").over(before), F.lit(0)).cast("bigint"))
+    return placed_blocks(spans, "contig_idx", "local_block", "offset")
+
+
+def placed_blocks(spans: DataFrame, contig: str, block: str, name: str) -> DataFrame:
+    """``spans`` with a column ``name``: the spans of the contig's blocks before this one."""
+    before = Window.partitionBy(contig).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn(name, F.coalesce(F.sum("span").over(before), F.lit(0)).cast("bigint"))
 
 
 def dealt(placed: DataFrame, partitions: int | None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -510,8 +512,7 @@ def running_positions(spark, sf_dir):
 @query("with b as (select chrom, pos // 500 as block, cast(sum(1 + pk % 100) as bigint) as span from variants group by 1, 2) select chrom, block, span, cast(coalesce(sum(span) over (partition by chrom order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as start from b")
 def block_offsets(spark, sf_dir):
     spans = variants(spark, sf_dir).groupBy("chrom", F.floor(F.col("pos") / 500).alias("block")).agg(F.sum(1 + F.col("pk") % 100).alias("span"))
-    before = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("start", F.coalesce(F.sum("span").over(before), F.lit(0)).cast("bigint"))
+    return generate.placed_blocks(spans, "chrom", "block", "start")
 
 
 _SLOT = "('0x' || substr(md5(concat({}, '/', cast(slot as varchar))), 1, 12))::bigint"
@@ -533,11 +534,16 @@ def exact_ac_placement(spark, sf_dir):
     from (select {_U.format(_KEY, 'u')} as u, {_U.format(_KEY, 'v')} as v from variants))) group by bin""")
 def histogram_sample(spark, sf_dir):
     """Inverse-transform sampling from weights 1, 2, 1 over edges 1, 2, 10, 100, floored."""
-    edges = F.array(*[F.lit(float(e)) for e in (1, 2, 10, 100)])
-    k = F.when(_uniform("u") <= 0.25, 0).when(_uniform("u") <= 0.75, 1).otherwise(2)
-    rows = variants(spark, sf_dir).select(k.alias("bin"), _uniform("v").alias("v"))
-    value = F.floor(F.get(edges, F.col("bin")) + F.col("v") * (F.get(edges, F.col("bin") + 1) - F.get(edges, F.col("bin"))))
-    return rows.select("bin", value.alias("value")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    sampler = generate.HistogramSampler({"edges": [1, 2, 10, 100], "weights": [1, 2, 1]})
+
+    def run(batches):
+        for b in batches:
+            k = sampler.bins(b.column("u").to_numpy())
+            value = np.floor(sampler.within(k, b.column("v").to_numpy())).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(value)], ["bin", "value"])
+
+    drawn = variants(spark, sf_dir).select(_uniform("u").alias("u"), _uniform("v").alias("v"))
+    return drawn.mapInArrow(run, "bin int, value bigint").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 @query(f"select chrom, count(*) as n_records, min(pos) as pos_min, max(pos) as pos_max, count(*) * {2 * SAMPLES} as n_alleles, cast(sum(ac) as bigint) as n_nonref from counts group by chrom")

@@ -222,6 +222,19 @@ def test_contexts_back_off_to_the_classes_of_two_words(monkeypatch):
     assert sizes == [4096, 4096, 808]
 
 
+def test_words_that_are_not_frequent_are_themselves_as_history():
+    """Words of one cluster that aren't broadcast have features and a place in common with their kind only."""
+    v = maxent_lm.Vocabulary([b"", b"the", b"of"], np.array([9.0, 5, 3]), maxent_lm.Letters(np.zeros(0, np.uint32), np.zeros((0, maxent_lm.CLUSTERS)))).prepare()
+    ids, sizes, rare, _ = maxent_lm.encode(v, pa.array(["the zebra of", "the quagga of", "the zebra of"]))
+    assert sizes.tolist() == [4, 4, 4] and rare.to_pylist() == ["zebra", "quagga", "zebra"]
+    zebra, quagga, again = ids[2], ids[6], ids[10]
+    assert zebra == again != quagga and v.places(ids).max() < len(v.classes) == len(v.log_counts)
+    assert len(set(v.classes[v.places(np.array([zebra, quagga]))].tolist())) == 1
+    rows = maxent_lm.features(v, ids)
+    assert (rows[2] == rows[10]).all() and rows[2][0] != rows[6][0] and rows[2][3] != rows[6][3]
+    assert (rows[2][4:] == rows[6][4:]).all()  # classes
+
+
 def test_letters_of_all_whole_texts_are_counted(spark, monkeypatch):
     """Far into a text and outside the sample that the centers are fitted on, too."""
     monkeypatch.setattr(maxent_lm, "SAMPLE_DOCUMENTS", 2)

@@ -210,7 +210,7 @@ def test_group_sums():
 def test_contexts_back_off_to_the_classes_of_two_words(monkeypatch):
     """Contexts of new words share the row of their two classes, and no gradient step takes more than 4096 tokens."""
     words = [b"", *(b"w%d" % i for i in range(900))]
-    v = maxent_lm.Vocabulary(words, np.arange(len(words), 0, -1).astype(float), {}).prepare()
+    v = maxent_lm.Vocabulary(words, np.arange(len(words), 0, -1).astype(float), maxent_lm.Letters(np.zeros(0, np.uint32), np.zeros((0, maxent_lm.CLUSTERS)))).prepare()
     near, far = (maxent_lm.features(v, np.array([first, two, one, 3]))[-1] for first, two, one in ((2, 700, 701), (5, 702, 703)))
     assert v.classes[700] == v.classes[703] and v.classes[2] != v.classes[5]
     assert len(near) == 6 and (near == far).sum() == 1

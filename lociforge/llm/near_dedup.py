@@ -10,7 +10,7 @@ bucket's center, its smallest id (a star, not all pairs). What the star leaves a
 ``d(x)`` the symmetric difference of x and the center, two sets x, y of sizes n, m are linked if and only if
 ``|d(x)| + |d(y)| - 2 |d(x) & d(y)| <= c (n + m)`` with ``c = (1 - s) / (1 + s)``. A set that isn't linked with the center
 has a large difference, so a link with it needs a large common part of the differences, and prefixes of the two
-differences (in an order from rare to common, as a sample of the center's family shows) share an element (``SHOWN`` of
+differences (in an order from rare to common, as counted over the center's whole family) share an element (``SHOWN`` of
 them), after which enough of both is left. Only such pairs are compared; members of a family that vary independently share none but the common elements, which come last. A family
 finds all links between its members, so two sets with the same largest family meet there and in no other. Every link is
 confirmed on the full sets of both texts, as integers.
@@ -34,8 +34,6 @@ WORDS = 5
 PERCENT = 80
 TABLES = 12
 ROWS = 3
-#: Members of a family whose differences set the order of elements, about.
-SAMPLED = 48
 #: Common elements that prefixes show, where that many are needed.
 SHOWN = 1
 
@@ -201,40 +199,37 @@ def prefix_lengths(size: int, n: int, center: int, linked: bool, percent: int, s
 def prefixes(family: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a, b, n, part, main, size, apart, own, other, shown, place, e``: a row per element of each prefix with its place in the difference, from ``compare_stars`` rows with their components.
 
-    The order of elements is by how many of a sample of the family's differences hold them, then by value. The sample
-    (about ``SAMPLED`` members) only sets the order; every member has its prefixes.
+    The order of elements is by how many of the family's differences hold them, counted over all members, then by value.
+    Elements that no two members of different components share, one of them apart from the center, come first of all:
+    they have places, but no rows, as no link between components shows in them.
     """
-    members = family.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
-    drawn = F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / SAMPLED)) == 0
-    sample = family.join(members, "a").where(drawn).select("a", F.explode("d").alias("e"))
-    common = sample.groupBy("a", "e").agg(F.count(F.lit(1)).alias("held")).where("held > 1").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("e", "held"))).alias("common"))
-    common = common.select("a", F.col("common.e").alias("ce"), F.col("common.held").alias("ch"))
+    elements = family.select("a", "b", "part", "apart", F.explode("d").alias("e"))
+    counted = elements.groupBy("a", "e").agg(F.count(F.lit(1)).alias("held"), F.min("part").alias("least"), F.max("part").alias("most"), F.max("apart").alias("apart"))
+    shared = counted.where("least <> most and apart").select("a", "e", "held")
+    of_member = elements.select("a", "b", "e").join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("held", "e")))["e"].alias("es"))  # at most a difference each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _own_worker()
         for batch in batches:
-            at, sizes, classes, out = [], [], [], []
-            rows = zip(*(batch.column(k).to_pylist() for k in (2, 4, 5)), *(batch.column(k) for k in (7, 8, 9)), strict=True)
-            for i, (n, center, linked, d, ce, ch) in enumerate(rows):
-                d = d.values.to_numpy()
-                sizes.append(len(d))
-                held = np.zeros(len(d), np.int64)
-                if ce.is_valid:
-                    ce, ch = ce.values.to_numpy(), ch.values.to_numpy()
-                    k = np.minimum(np.searchsorted(ce, d), len(ce) - 1)
-                    held = np.where(ce[k] == d, ch[k], 0)
-                order = np.lexsort((d, held))
-                own, found = prefix_lengths(len(d), n, center, linked, percent)
+            at, classes, out = [], [], []
+            rows = zip(*(batch.column(k).to_pylist() for k in (2, 5, 7, 8)), batch.column(9), strict=True)
+            for i, (n, size, center, linked, es) in enumerate(rows):
+                es = es.values.to_numpy()
+                first = size - len(es)
+                own, found = prefix_lengths(size, n, center, linked, percent)
                 for other, length, shown in found:
-                    at.append(i)
-                    classes.append((own, other, shown))
-                    out.append(d[order[:length]])
+                    if length > first:
+                        at.append(i)
+                        classes.append((own, other, shown, first))
+                        out.append(es[: length - first])
             kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), kept.column(3), kept.column(10), pa.array([sizes[i] for i in at], pa.int64()), kept.column(6), *(pa.array([c[k] for c in classes], pa.int32()) for k in (0, 1, 2)), _lists(out)], ["a", "b", "n", "part", "main", "size", "apart", "own", "other", "shown", "es"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(7)), *(pa.array([c[k] for c in classes], pa.int32()) for k in range(4)), _lists(out)], ["a", "b", "n", "part", "main", "size", "apart", "own", "other", "shown", "first", "es"])
 
-    rows = family.join(common, "a", "left").select("a", "b", "n", "part", "a_n", "linked", "apart", "d", "ce", "ch", "main")
-    made = rows.mapInArrow(run, "a long, b long, n long, part long, main long, size long, apart boolean, own int, other int, shown int, es array<long>")
-    return made.select("a", "b", "n", "part", "main", "size", "apart", "own", "other", "shown", F.posexplode("es").alias("place", "e"))
+    rows = family.select("a", "b", "n", "part", "main", F.size("d").cast("long").alias("size"), "apart", "a_n", "linked").join(of_member, ["a", "b"])
+    made = rows.mapInArrow(run, "a long, b long, n long, part long, main long, size long, apart boolean, own int, other int, shown int, first int, es array<long>")
+    return made.select("a", "b", "n", "part", "main", "size", "apart", "own", "other", "shown", "first", F.posexplode("es").alias("next", "e")).select(
+        "a", "b", "n", "part", "main", "size", "apart", "own", "other", "shown", (F.col("first") + F.col("next")).alias("place"), "e"
+    )
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from lociforge.llm.components import components
 from lociforge.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, split_buckets
-from lociforge.llm.near_dedup import near_duplicates, prefix_lengths, shingles
+from lociforge.llm.near_dedup import near_duplicates, prefix_lengths, prefixes, shingles
 from lociforge.llm.sharding import ShardStore, shard_documents
 
 SCHEMA = "doc_id long, text string, keep_id string, key string"
@@ -113,6 +113,29 @@ def test_prefixes_of_differences_meet(center, x, y, percent):
     assert len(dx & dy) >= min(shown_x, shown_y) >= 1
 
 
+def test_prefixes_are_ordered_by_counts_over_the_whole_family(spark):
+    """However few members hold an element; those that nobody of another component shares have places, but no rows."""
+    rng = random.Random(4)
+    d = {b: sorted({rng.randrange(10, 90) if rng.random() < 0.5 else rng.randrange(100, 4000) for _ in range(40)} | {1, 2, 5000 + b}) for b in range(1, 301)}
+    part = {b: b if b % 3 else 0 for b in d}  # a third is in the center's component
+    family = spark.createDataFrame([(0, b, 100, 100, not b % 3, part[b] != 0, part[b], 0, x) for b, x in d.items()], "a long, b long, a_n long, n long, linked boolean, apart boolean, part long, main long, d array<long>")
+    holders = {}
+    for b, x in d.items():
+        for e in x:
+            holders.setdefault(e, []).append(b)
+    shared = {e for e, own in holders.items() if len({part[b] for b in own}) > 1}
+    assert sum(2 <= len(holders[e]) <= 4 for e in shared) > 100  # too few for any sample
+    rows = prefixes(family).collect()
+    want = set()
+    for b, x in d.items():
+        order = sorted(x, key=lambda e: (e in shared, len(holders[e]) if e in shared else 0, e))
+        own, found = prefix_lengths(len(x), 100, 100, not b % 3, 80)
+        want |= {(b, own, other, shown, k, e) for other, length, shown in found for k, e in enumerate(order[:length]) if e in shared}
+    got = [(r["b"], r["own"], r["other"], r["shown"], r["place"], r["e"]) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert all(r["size"] == len(d[r["b"]]) and r["apart"] == (r["part"] != 0) and r["n"] == 100 for r in rows)
+
+
 def test_shingles_of_short_texts():
     assert len(shingles("", 4)) == 0 and len(shingles(" \t", 4)) == 0
     assert np.array_equal(shingles("A b", 4), shingles("a\nB", 4)) and not np.array_equal(shingles("a b", 4), shingles("b a", 4))

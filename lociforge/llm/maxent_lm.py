@@ -3,8 +3,7 @@
 The probability of a token is that of its class given the tokens before it, times that of the token in its class.
 
 * Classes: the end of a text, the commonest words one by one, and the rest by cluster and frequency band. Clusters come
-  from texts that share common words: centers by k-means over a bounded sample, then every training text joins the
-  nearest. A word gets the cluster that its first and last letters speak for, counted over all whole training texts, so
+  from texts that share common words: centers by k-means over all training texts, each of which joins the nearest. A word gets the cluster that its first and last letters speak for, counted over all whole training texts, so
   every word has one, seen or not.
 * Class given history: a softmax over hashed features, the word before, the skip words two and three back, the two
   words before together, the classes of the two before, and those of the three before. Weights are trained over all
@@ -21,7 +20,7 @@ another word's bytes. Tokens are scored in numpy, a block of texts at a time.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import discard, small_batches, texts, written
 from .language_id import held_out
 
 #: Words that are broadcast, at most.
@@ -48,9 +47,13 @@ RATE = 0.25
 FURTHEST = 1 / 1.5
 #: Results that are averaged at a time.
 FAN_IN = 32
-#: Texts that the clusters' centers are fitted on, about; and commonest words that texts are compared by.
-SAMPLE_DOCUMENTS = 2000
+#: A bound on the texts that the clusters' centers are fitted on: there is none, all are read.
+SAMPLE_DOCUMENTS = None
+#: Commonest words that texts are compared by.
 COMMON = 200
+#: Rounds of k-means over all training texts, at most; and units of a sum, which is of integers and so the same in any order.
+CENTER_ROUNDS = 12
+UNIT = 1 << 20
 SMOOTHING = 0.1
 #: Bytes in a block of texts, and tokens in a gradient step.
 BLOCK, STEP = 4 << 20, 4096
@@ -266,24 +269,75 @@ def profiles(common: pa.Array, words: pa.Array, sizes: np.ndarray) -> np.ndarray
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def sample_profiles(sample: DataFrame, common: pa.Array) -> np.ndarray:
-    """``profiles`` of the whole texts of a bounded sample, by doc_id."""
+def text_profiles(train: DataFrame, common: pa.Array) -> DataFrame:
+    """``sizes, places, counts`` of a block of whole texts in a row: how many common words each text has, which, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = max(1, len(common))
         for batch in batches:
-            for first, texts_here in _blocks(batch.column(1)):
-                x = profiles(common, *split_words(texts_here))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "profile"])
+            for _, texts_here in _blocks(batch.column(1)):
+                words, sizes = split_words(texts_here)
+                found = pc.index_in(words, value_set=common)
+                here = pc.is_valid(found).to_numpy(zero_copy_only=False)
+                at, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes)[here] * width + found.drop_null().to_numpy(), return_counts=True)
+                parts = np.bincount(at // width, minlength=len(sizes)).astype("<u4"), (at % width).astype("<u2"), counts.astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["sizes", "places", "counts"])
+
+    return train.mapInArrow(run, "sizes binary, places binary, counts binary")
+
 
-    found = sample.mapInArrow(run, "doc_id long, profile binary").orderBy("doc_id", "profile").collect()
-    return np.array([np.frombuffer(r["profile"]) for r in found]).reshape(len(found), max(1, len(common)))
+def unpacked(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """``profiles`` of the blocks of texts in rows of ``text_profiles``."""
+    for row in batch.to_pylist():
+        sizes, places, counts = (np.frombuffer(row[c], kind) for c, kind in (("sizes", "<u4"), ("places", "<u2"), ("counts", "<u4")))
+        x = np.zeros((len(sizes), width))
+        x[np.repeat(np.arange(len(sizes)), sizes), places] = np.sqrt(counts)
+        yield x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _added(table: DataFrame, width: int, unit: float, sums: Callable[[np.ndarray], np.ndarray], height: int) -> np.ndarray:
+    """The sum of ``sums`` of all texts' profiles in whole units, a matrix of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((height, width), np.int64)
+        for batch in batches:
+            for x in unpacked(batch, width):
+                total += np.rint(sums(np.rint(x * unit))).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["at", "n"])
+
+    out = np.zeros(height * width)
+    with small_batches(table.sparkSession):
+        for r in table.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r["n"]
+    return out.reshape(height, width)
+
+
+def fit_centers(train: DataFrame, common: pa.Array, rounds: int = CENTER_ROUNDS) -> np.ndarray:
+    """Centers of clusters of all texts by common words.
+
+    They start from clusters of the common words, by the words that they share texts with; then k-means over the texts.
+    """
+    table = written(text_profiles(train, common), "lm-profiles")
+    width = max(1, len(common))
+    together = _added(table, width, 1 << 12, lambda x: x.T @ x, width)
+    centers = induce_centers(together / np.maximum(np.linalg.norm(together, axis=1, keepdims=True), 1e-9))
+    for _ in range(rounds):
+        before = centers.copy()
+        sums = _added(table, width, UNIT, lambda x, c=before: (np.arange(CLUSTERS)[:, None] == (x @ c.T).argmax(axis=1)).astype(np.float64) @ x, CLUSTERS)
+        lengths = np.linalg.norm(sums, axis=1)
+        centers[lengths > 0] = sums[lengths > 0] / lengths[lengths > 0, None]
+        if (centers == before).all():
+            break
+    discard(table)
+    return centers
 
 
 def induce_centers(x: np.ndarray, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Centers of clusters of texts by common words."""
+    """Centers of clusters of the rows."""
     rng = np.random.Generator(np.random.Philox(key=seed))
     centers = x[rng.permutation(len(x))[:1]] if len(x) else np.zeros((1, x.shape[1]))
-    while len(centers) < CLUSTERS:  # the text that is farthest from all centers
+    while len(centers) < CLUSTERS:  # the row that is farthest from all centers
         far = (x @ centers.T).max(axis=1) if len(x) else np.zeros(1)
         centers = np.vstack([centers, x[int(far.argmin())] if len(x) else centers[:1]])
     for _ in range(rounds):
@@ -343,18 +397,15 @@ class MaxentModel:
 
 
 def fit(train: DataFrame) -> MaxentModel:
-    """From ``doc_id, text`` rows. All of them are counted and trained on; the clusters' centers are fitted on a bounded sample.
+    """From ``doc_id, text`` rows. All of them are counted, clustered and trained on.
 
     A null text has to be an empty one (``texts``); repeated rows count again; a table without rows gives a model in which
     every word is unseen.
     """
     spark = train.sparkSession
-    rows = train.count()
-    spot = F.pmod(F.xxhash64(F.lit("clusters"), "doc_id"), F.lit(1_000_000))
-    sample = train.where(spot < int(1_000_000 * min(1.0, SAMPLE_DOCUMENTS / max(rows, 1))) + 1)
     counts = written(count_tokens(train), "lm-counts")
     common = pa.array([bytes(r["word"]) for r in counts.where(F.octet_length("word") > 0).orderBy(F.col("n").desc(), "word").limit(COMMON).collect()], pa.string())
-    clusters = fit_letters(count_letters(train, common, induce_centers(sample_profiles(sample, common))).toArrow())
+    clusters = fit_letters(count_letters(train, common, fit_centers(train, common)).toArrow())
     level = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.col("level").desc()).collect()  # some hundred rows
     total, distinct = sum(r["n"] for r in levels), sum(r["words"] for r in levels)

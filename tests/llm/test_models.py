@@ -249,6 +249,28 @@ def test_letters_of_all_whole_texts_are_counted(spark, monkeypatch):
     assert got == want
 
 
+def test_centers_are_of_all_texts(spark, monkeypatch):
+    """Every text pulls its center, and how texts are dealt to tasks changes nothing."""
+    monkeypatch.setattr(maxent_lm, "SAMPLE_DOCUMENTS", 2)  # no bound counts
+    rng = random.Random(8)
+    rows = [(i, text_in(rng, rng.choice(list(WORDS)))) for i in range(90)] + [(90, "the " * 70_000 + "of"), (91, ""), (92, "zz"), (None, "der die")]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    common = pa.array([w for own in WORDS.values() for w in own[:6]])
+    x = maxent_lm.profiles(common, *maxent_lm.split_words(pa.array([t for _, t in rows])))
+    got = maxent_lm.fit_centers(train.repartition(3), common, rounds=40)
+    assert (got == maxent_lm.fit_centers(train.repartition(7), common, rounds=40)).all()
+    near = (x @ got.T).argmax(axis=1)
+    assert len(set(near.tolist())) > 2
+    for k in set(near.tolist()):  # k-means has settled: each center is that of all its texts
+        m = x[near == k].sum(axis=0)
+        assert got[k] == pytest.approx(m / np.linalg.norm(m), abs=1e-5)
+    seen = []
+    plain = maxent_lm.count_letters
+    monkeypatch.setattr(maxent_lm, "count_letters", lambda train, common, centers: seen.append((common, centers)) or plain(train, common, centers))
+    maxent_lm.fit(train)
+    assert (seen[0][1] == maxent_lm.fit_centers(train, seen[0][0])).all()
+
+
 @pytest.mark.parametrize("n", [24, 90, 400])
 def test_gibberish_of_letters_is_rejected_at_any_size(spark, n):
     """Languages with few texts have a limit, too; their own texts stay."""

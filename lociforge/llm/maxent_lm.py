@@ -270,41 +270,40 @@ def profiles(common: pa.Array, words: pa.Array, sizes: np.ndarray) -> np.ndarray
 
 
 def text_profiles(train: DataFrame, common: pa.Array) -> DataFrame:
-    """``sizes, places, counts`` of a block of whole texts in a row: how many common words each text has, which, and how often."""
+    """``sizes, places, values`` of a block of whole texts in a row: how many common words each text has, which, and their ``profiles`` in whole units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = max(1, len(common))
         for batch in batches:
             for _, texts_here in _blocks(batch.column(1)):
-                words, sizes = split_words(texts_here)
-                found = pc.index_in(words, value_set=common)
-                here = pc.is_valid(found).to_numpy(zero_copy_only=False)
-                at, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes)[here] * width + found.drop_null().to_numpy(), return_counts=True)
-                parts = np.bincount(at // width, minlength=len(sizes)).astype("<u4"), (at % width).astype("<u2"), counts.astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["sizes", "places", "counts"])
+                x = profiles(common, *split_words(texts_here))
+                at = np.flatnonzero(x)
+                parts = np.bincount(at // width, minlength=len(x)).astype("<u4"), (at % width).astype("<u2"), np.rint(x.ravel()[at] * UNIT).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["sizes", "places", "values"])
 
-    return train.mapInArrow(run, "sizes binary, places binary, counts binary")
+    return train.mapInArrow(run, "sizes binary, places binary, values binary")
 
 
-def unpacked(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    """``profiles`` of the blocks of texts in rows of ``text_profiles``."""
+def unpacked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block of texts in rows of ``text_profiles``: texts, places and values, and these as a matrix of floats."""
     for row in batch.to_pylist():
-        sizes, places, counts = (np.frombuffer(row[c], kind) for c, kind in (("sizes", "<u4"), ("places", "<u2"), ("counts", "<u4")))
-        x = np.zeros((len(sizes), width))
-        x[np.repeat(np.arange(len(sizes)), sizes), places] = np.sqrt(counts)
-        yield x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        sizes, places, values = (np.frombuffer(row[c], kind) for c, kind in (("sizes", "<u4"), ("places", "<u2"), ("values", "<u4")))
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        x = np.zeros((len(sizes), width), np.float32)
+        x[own, places] = values
+        yield own, places, values, x
 
 
-def _added(table: DataFrame, width: int, unit: float, sums: Callable[[np.ndarray], np.ndarray], height: int) -> np.ndarray:
-    """The sum of ``sums`` of all texts' profiles in whole units, a matrix of fixed size."""
+def _added(table: DataFrame, width: int, height: int, sums: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum of ``sums``, whole numbers, of all blocks of texts: a matrix of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((height, width), np.int64)
+        total = np.zeros(height * width, np.int64)
         for batch in batches:
-            for x in unpacked(batch, width):
-                total += np.rint(sums(np.rint(x * unit))).astype(np.int64)
+            for block in unpacked(batch, width):
+                total += np.rint(sums(*block)).astype(np.int64).ravel()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
     out = np.zeros(height * width)
     with small_batches(table.sparkSession):
@@ -320,11 +319,21 @@ def fit_centers(train: DataFrame, common: pa.Array, rounds: int = CENTER_ROUNDS)
     """
     table = written(text_profiles(train, common), "lm-profiles")
     width = max(1, len(common))
-    together = _added(table, width, 1 << 12, lambda x: x.T @ x, width)
+
+    def pairs(own: np.ndarray, places: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+        x = np.rint(x * 2**-8).astype(np.float64)  # so products and their sums are whole
+        return x.T @ x
+
+    together = _added(table, width, width, pairs)
     centers = induce_centers(together / np.maximum(np.linalg.norm(together, axis=1, keepdims=True), 1e-9))
     for _ in range(rounds):
         before = centers.copy()
-        sums = _added(table, width, UNIT, lambda x, c=before: (np.arange(CLUSTERS)[:, None] == (x @ c.T).argmax(axis=1)).astype(np.float64) @ x, CLUSTERS)
+
+        def joined(own: np.ndarray, places: np.ndarray, values: np.ndarray, x: np.ndarray, c: np.ndarray = before.astype(np.float32)) -> np.ndarray:
+            near = (x @ c.T).argmax(axis=1)
+            return np.bincount(near[own] * width + places, weights=values, minlength=CLUSTERS * width)
+
+        sums = _added(table, width, CLUSTERS, joined)
         lengths = np.linalg.norm(sums, axis=1)
         centers[lengths > 0] = sums[lengths > 0] / lengths[lengths > 0, None]
         if (centers == before).all():

@@ -199,6 +199,34 @@ def test_other_tokenizers_get_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_words_cost_no_encoding_each(monkeypatch):
+    """Runs of letters and of marks go to the tokenizer's model; only other words are encoded as texts. Ids are the library's."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(model_path(packing.MODEL))
+    own, encoded, rng = packing.WordTokens(packing.MODEL), [], random.Random(6)
+    encode = own._encode
+    monkeypatch.setattr(own, "_encode", lambda words: encoded.extend(words) or encode(words))
+    odd = ["\u212aelvin", "\u212bngstr\u00f6m,", "\u0178", "\u1e9e!", "\u0130stanbul", "J\u030c", "\u03a3\u03a3", "ab\u2028cd", "a\rb", "x_y", "don't", "...", "<|endoftext|>", "\x1c", "\u00b5m", "\u00d7", "12"]
+    made = ["".join(rng.choice("abdeinorst\u00e9\u00f1\u00dfAEZ\u00c9") for _ in range(rng.randint(1, 12))) + rng.choice(["", ",", "!!", "%%%", ")-"]) for _ in range(3000)]
+    texts = [" ".join(odd), "\n".join(odd), " ".join(made), *odd]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not set(encoded) & set(made) and set(encoded) <= set(odd)
+
+
+def test_words_that_come_once_fill_no_cache():
+    own = packing.WordTokens(packing.MODEL)
+    held, room = len(own.cores) + len(own.known), dict(own.room)
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:10]]
+    for at in range(0, len(words), 8000):
+        own([" ".join(words[at : at + 8000])])
+    assert len(own.cores) + len(own.known) - held < 0.2 * len(words)
+    own([" ".join(words[:8000])])
+    assert set(words[:8000]) <= own.cores.keys() and all(own.room[k] < room[k] for k in room)
+
+
 def test_retained_versions_stay_readable(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=40_000, fan_in=3)
     rng = random.Random(2)

@@ -19,10 +19,10 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_BYTES, entry_bytes, row_number, texts, use_worker, written
+from .common import CACHE_BYTES, entry_bytes, texts, use_worker, written
 from .merges import model_path
 
 MODEL = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces in a block, on average.
 BLOCK_PIECES = 65_536
+#: What settles the order of a block's pieces; pieces that agree in it are the same.
+ORDER = ("doc_id", "piece", "ids_crc32", "length")
+#: Equal rows that are numbered at a time.
+LOT = 4096
 #: Characters that a worker tokenizes at a time, at least one text.
 CHUNK_CHARS = 1 << 20
 #: Marks for words that were met once, per cache.
@@ -210,25 +214,37 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins[back], offsets[back]
 
 
-def pack(docs: DataFrame, model: str = MODEL, capacity: int = CAPACITY, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def _dealt(pieces: DataFrame, blocks: int) -> DataFrame:
+    """The same rows with ``block``, from a hash of the row, and of a number among equal rows: they are dealt like others."""
+    own = pieces.columns
+    some = pieces.groupBy(own).agg(F.count(F.lit(1)).alias("rows"))
+    lots = some.select("*", F.explode(F.expr(f"sequence(0L, (rows - 1) div {LOT})")).alias("lot"))
+    each = lots.select("*", F.explode(F.expr(f"sequence(lot * {LOT}, least(rows, (lot + 1) * {LOT}) - 1)")).alias("copy"))
+    return each.select(*own, F.pmod(F.xxhash64(*own, "copy"), F.lit(blocks)).alias("block"))
+
+
+def pack(docs: DataFrame, model: str = MODEL, capacity: int = CAPACITY, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES, block_documents: int | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece.
 
     Null and empty texts are a piece of length 1. Repeated rows and rows with a null doc_id are packed as any other. An
     empty table gives an empty result; columns other than doc_id and text are not read. Pieces are written to the shared
-    folder; full ones, the only ones whose id is negative, go no further, and the others are dealt to blocks by their place in that table,
-    evenly whatever their doc_id. Inside a block ties are settled by doc_id, piece and checksum. One shuffle, of a row
-    per piece that isn't full.
+    folder. Full ones, the only ones whose id is negative, are only numbered; the others are dealt evenly to blocks, of about
+    ``block_pieces`` or, where that is given, of the pieces of about ``block_documents`` documents. Blocks and places in them
+    depend on the pieces alone, so the result doesn't depend on how the input is split. Two shuffles, of a row per piece.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     pieces = written(document_pieces(docs, model, capacity, end_id), "pack-pieces")
-    short = pieces.where(F.col("length") < capacity)
-    blocks = max(1, round(short.count() / block_pieces))
+    short, full = pieces.where(F.col("length") < capacity), pieces.where(F.col("length") == capacity)
+    n = pieces.agg(F.count_if(F.col("length") < capacity).alias("short"), F.count_if(F.col("length") == capacity).alias("full"), F.count_if(F.col("piece") == 0).alias("documents")).first()
+    blocks = max(1, round(n["documents"] / block_documents if block_documents else n["short"] / block_pieces))
 
     def own(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        use_worker("blocks", dict)  # the tokenizer's caches go
+        table = table.sort_by([(name, "ascending") for name in ORDER])
         bins, offsets = pack_lengths(table.column("length").to_numpy(), capacity)
         return table.drop_columns("block").append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    dealt = short.withColumn("block", F.pmod(F.xxhash64(row_number()), F.lit(blocks)))
-    full = pieces.where(F.col("length") == capacity).select("*", (F.lit(-1) - row_number()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return dealt.groupBy("block").applyInArrow(own, schema).unionByName(full)
+    place = F.row_number().over(Window.partitionBy("block").orderBy(*ORDER))
+    alone = _dealt(full, max(1, round(n["full"] / block_pieces))).withColumn("sequence_id", -F.shiftleft("block", 32) - place)
+    alone = alone.drop("block").withColumn("offset", F.lit(0).cast("long"))
+    return _dealt(short, blocks).groupBy("block").applyInArrow(own, schema).unionByName(alone)

@@ -227,6 +227,18 @@ def test_words_that_come_once_fill_no_cache():
     assert set(words[:8000]) <= own.cores.keys() and all(own.room[k] < room[k] for k in room)
 
 
+def test_packing_depends_on_the_pieces_alone(spark, tmp_path):
+    """However rows are dealt to tasks, repeated ones and full pieces included; one row's many copies are dealt like others."""
+    rows = [(None, "one two three")] * 9000 + [(5, "word " * 9000)] * 6 + [(i, "some words " * (i % 40)) for i in range(500)]
+    docs = table(spark, tmp_path / "t", [(i, t, 0) for i, t in rows])
+    packed = [packing.pack(d, block_pieces=1000).toPandas().fillna(-1) for d in (docs, docs.repartition(5), docs.coalesce(1))]
+    first, *others = [sorted(map(tuple, p.astype("int64").to_numpy().tolist())) for p in packed]
+    assert len(first) == 9000 + 6 * 3 + 500 and all(p == first for p in others)
+    short = packed[0][packed[0].sequence_id >= 0]
+    each = short.groupby(short.sequence_id.floordiv(1 << 32)).size()
+    assert len(each) >= 9 and each.max() < 1.5 * each.min()
+
+
 def test_retained_versions_stay_readable(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=40_000, fan_in=3)
     rng = random.Random(2)

@@ -27,7 +27,9 @@ BINS = 12
 SAMPLE_DOCUMENTS = 6000
 THRESHOLD = 0.3
 #: Tokens whose statistics a worker keeps.
-TOKENS = 250_000
+TOKENS = 125_000
+#: Characters that a worker scores at a time, at least one text.
+CHUNK_CHARS = 1 << 20
 
 #: Per token, summed over a text.
 TOKEN_STATS = ("tokens", "chars", "letters", "upper", "digits", "marks", "other", "bare_marks", "mark_runs", "all_upper", "long")
@@ -202,7 +204,7 @@ def _scores(machine: FactorisationMachine, column: pa.Array) -> np.ndarray:
     scores, at = np.zeros(len(column)), 0
     while at < len(column):
         chunk, size, first = [], 0, at
-        while at < len(column) and (not chunk or size < 1 << 21):
+        while at < len(column) and (not chunk or size < CHUNK_CHARS):
             chunk.append(column[at].as_py() or "")
             size += len(chunk[-1])
             at += 1

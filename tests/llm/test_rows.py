@@ -239,6 +239,26 @@ def test_packing_depends_on_the_pieces_alone(spark, tmp_path):
     assert len(each) >= 9 and each.max() < 1.5 * each.min()
 
 
+def test_quality_holds_few_tokens_at_a_time(monkeypatch):
+    """Many new tokens leave a worker little to keep, texts are read 1 M characters at a time, and scores don't depend on either."""
+    import pyarrow as pa
+
+    rng, made = random.Random(8), []
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(300_000)]
+    column = pa.array([" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)] + [None, "", "one text"])
+    features = quality._features
+    monkeypatch.setattr(quality, "_features", lambda chunk: made.append((len(quality._TOKENS.rows), sum(map(len, chunk)), len(chunk))) or features(chunk))
+    n = quality.BUCKETS + len(quality.STATS) * (quality.BINS + 1)
+    draw = np.random.default_rng(3)
+    machine = quality.FactorisationMachine(0.1, draw.normal(size=n), draw.normal(size=(n, quality.RANK)), np.zeros((len(quality.STATS), quality.BINS - 1)), np.zeros(len(quality.STATS)), np.ones(len(quality.STATS)))
+    quality._own_worker()
+    together = quality._scores(machine, column)
+    assert max(size for _, size, k in made) <= (1 << 20) + 10_000 and max(held for held, _, _ in made) <= 250_000
+    assert len(quality._TOKENS.rows) < 250_000
+    apart = [quality._scores(machine, column.slice(at, 1))[0] for at in (0, 150, 299, 300, 301, 302)]
+    assert np.allclose(together[[0, 150, 299, 300, 301, 302]], apart, rtol=1e-12)
+
+
 def test_retained_versions_stay_readable(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=40_000, fan_in=3)
     rng = random.Random(2)
